@@ -29,6 +29,9 @@ from lattica.llm.common import LAST_ID, column, components, mix, pin
 from lattica.llm.simhash import forest
 
 STEP, TILE = 6.0, 2_048
+#: Buckets of up to this many classes are compared many to a group.
+SMALL = 256
+LINKS = "a long, b long, links long"
 
 
 def collision(ratio: float) -> float:
@@ -46,8 +49,9 @@ def plan(n: int, cosine: float, miss: float) -> tuple[int, int, float]:
     return k, max(1, math.ceil(math.log(miss) / math.log(1 - p1**k))), width
 
 
-def _keys(unit: np.ndarray, k: int, tables: int, width: float) -> np.ndarray:
-    """Bucket keys, one row for each vector and one column for each table."""
+def _keys(unit: np.ndarray, k: int, tables: int, width: float, only: int | None = None) -> np.ndarray:
+    """Bucket keys, one row for each vector and one column for each table, or for the first ``only``."""
+    tables = tables if only is None else only
     rng = np.random.default_rng(11)
     dim = unit.shape[1]
     out = np.empty((len(unit), tables), np.int64)
@@ -80,46 +84,85 @@ def _deal(k: int, tables: int, width: float):
     return run
 
 
+class _Links:
+    """Links among the vectors of one group, each pair counted in the first table in which it meets."""
+
+    def __init__(self, group: pd.DataFrame, table: int, k: int, tables: int, width: float, cosine: float):
+        self.ids, self.m = group["id"].to_numpy(), group["m"].to_numpy()
+        self.v = np.stack(group["v"].to_numpy()).astype(np.float64)
+        self.norm, self.cosine = np.linalg.norm(self.v, axis=1), cosine
+        self.earlier = _keys(self.v / self.norm[:, None], k, tables, width, table) if table else np.empty((len(self.v), 0), np.int64)
+        order = np.argsort(self.ids, kind="stable")
+        self.sorted = self.ids[order]
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[order] = np.arange(len(order))
+        self.got, self.labels = np.zeros(len(order), np.int64), np.arange(len(order))
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Pairs that reach the threshold."""
+        for t in range(self.earlier.shape[1]):
+            keep = self.earlier[a, t] != self.earlier[b, t]
+            a, b = a[keep], b[keep]
+        np.add.at(self.got, a, self.m[b])
+        np.add.at(self.got, b, self.m[a])
+        self.labels = forest(len(self.ids), self.rank[a], self.rank[b], self.labels)
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,ij->i", self.v[a], self.v[b]) / (self.norm[a] * self.norm[b]) >= self.cosine
+
+    def result(self) -> pd.DataFrame:
+        hit, joined = self.got > 0, np.flatnonzero(self.labels != np.arange(len(self.ids)))
+        return pd.concat(
+            [
+                pd.DataFrame({"a": self.ids[hit], "b": np.int64(-1), "links": self.got[hit]}),
+                pd.DataFrame({"a": self.sorted[joined], "b": self.sorted[self.labels[joined]], "links": np.int64(0)}),
+            ]
+        )
+
+
+def _by_length(group: pd.DataFrame):
+    for _, part in group.groupby(group["v"].map(len)):
+        yield part.reset_index(drop=True)
+
+
+def _buckets(k: int, tables: int, width: float, cosine: float):
+    """A group of whole small buckets of one table."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for part in _by_length(group):
+            part = part.sort_values(["key", "id"], kind="stable").reset_index(drop=True)
+            found = _Links(part, int(part["t"].iloc[0]), k, tables, width, cosine)
+            key, step = part["key"].to_numpy(), 1
+            a = np.arange(len(key))
+            while len(a := a[a + step < len(key)]) and len(a := a[key[a] == key[a + step]]):
+                near = found.near(a, a + step)
+                found.add(a[near], a[near] + step)
+                step += 1
+            out.append(found.result())
+        return pd.concat(out)
+
+    return run
+
+
 def _tile(k: int, tables: int, width: float, cosine: float):
+    """Two tiles of a large bucket, or one tile with itself."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        table = int(group["t"].iloc[0])
-        kind = group["side"].to_numpy()  # 0: both sides, 1: left, 2: right
-        size = group["v"].map(len).to_numpy()
-        links, low_a, low_b = [], [], []
-        for d in np.unique(size):
-            here = size == d
-            part, side = group[here], kind[here]
-            ids, m = part["id"].to_numpy(), part["m"].to_numpy()
-            v = np.stack(part["v"].to_numpy()).astype(np.float64)
-            norm = np.linalg.norm(v, axis=1)
-            keys = _keys(v / norm[:, None], k, table, width) if table else np.empty((len(v), 0), np.int64)
+        out = []
+        for part in _by_length(group):
+            found = _Links(part, int(part["t"].iloc[0]), k, tables, width, cosine)
+            side = part["side"].to_numpy()  # 0: one tile with itself, 1: left, 2: right
             left, right = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
-            got = np.zeros(len(ids), np.int64)
-            labels = np.arange(len(ids))
             for i in range(0, len(left), 512):
                 rows = left[i : i + 512]
-                cos = (v[rows] @ v[right].T) / (norm[rows][:, None] * norm[right][None, :])
+                cos = (found.v[rows] @ found.v[right].T) / (found.norm[rows][:, None] * found.norm[right][None, :])
                 a, b = np.nonzero(cos >= cosine)
                 a, b = rows[a], right[b]
-                keep = (ids[a] < ids[b]) if (side == 0).all() else ids[a] != ids[b]
-                a, b = a[keep], b[keep]
-                for t in range(table):
-                    keep = keys[a, t] != keys[b, t]
-                    a, b = a[keep], b[keep]
-                np.add.at(got, a, m[b])
-                np.add.at(got, b, m[a])
-                order = np.argsort(ids, kind="stable")
-                rank = np.empty(len(ids), np.int64)
-                rank[order] = np.arange(len(ids))
-                labels = forest(len(ids), rank[a], rank[b], labels)
-            rank_ids = np.sort(ids)
-            hit = got > 0
-            links.append(pd.DataFrame({"a": ids[hit], "b": -1, "links": got[hit]}))
-            joined = np.flatnonzero(labels != np.arange(len(ids)))
-            low_a.append(rank_ids[joined])
-            low_b.append(rank_ids[labels[joined]])
-        links.append(pd.DataFrame({"a": np.concatenate(low_a), "b": np.concatenate(low_b), "links": 0}))
-        return pd.concat(links)
+                keep = (found.ids[a] < found.ids[b]) | (side[a] == 1)
+                found.add(a[keep], b[keep])
+            out.append(found.result())
+        return pd.concat(out)
 
     return run
 
@@ -132,11 +175,15 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, miss: float = 0.001)
     classes = pin(rows.filter("v is not null").groupBy("v").agg(F.count("*").alias("m"), F.min(F.coalesce("vec_id", F.lit(LAST_ID))).alias("c")).withColumn("id", F.when(F.col("c") == LAST_ID, F.pmod(F.xxhash64("v"), F.lit(1 << 40)) + F.lit(1 << 61)).otherwise(F.col("c"))).drop("c"))
     k, tables, width = plan(classes.count(), cosine, miss)
     dealt = pin(classes.select("v", "id", "m").mapInArrow(_deal(k, tables, width), "t int, key long, id long, m long"))
-    shared = pin(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")))
-    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    placed = dealt.join(shared, ["t", "key"]).select("t", "key", "id", "m", own.alias("o"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    placed = placed.select("t", "key", "id", "m", F.least("o", "other").alias("x"), F.greatest("o", "other").alias("y"), F.when(F.col("o") == F.col("other"), 0).when(F.col("o") < F.col("other"), 1).otherwise(2).alias("side"))
-    met = pin(placed.join(classes.select("id", "v"), "id").groupBy("t", "key", "x", "y").applyInPandas(_tile(k, tables, width, cosine), "a long, b long, links long"))
+    shared = pin(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = dealt.join(shared, ["t", "key"]).join(classes.select("id", "v"), "id")
+    groups = max(1, dealt.count() // (tables * SMALL * 8))
+    small = met.filter(F.col("n") <= SMALL).withColumn("g", F.pmod("key", F.lit(groups))).groupBy("t", "g").applyInPandas(_buckets(k, tables, width, cosine), LINKS)
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    large = met.filter(F.col("n") > SMALL).withColumn("tiles", tiles)
+    large = large.withColumn("o", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    large = large.select("t", "key", "id", "m", "v", F.least("o", "other").alias("x"), F.greatest("o", "other").alias("y"), F.when(F.col("o") == F.col("other"), 0).when(F.col("o") < F.col("other"), 1).otherwise(2).alias("side"))
+    met = pin(small.unionByName(large.groupBy("t", "key", "x", "y").applyInPandas(_tile(k, tables, width, cosine), LINKS)))
     counts = met.groupBy("a").agg(F.sum("links").alias("links"))
     roots = components(met.filter("b >= 0").select("a", "b"))
     found = pin(classes.join(counts, classes["id"] == counts["a"], "left").join(roots, classes["id"] == roots["node"], "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")))
