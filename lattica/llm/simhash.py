@@ -56,7 +56,7 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> list[int]:
     """64 * words bits; the first 64 from the hashes as they are, the others from remixed ones."""
     out = []
     for k in range(words):
-        h = hashes if k == 0 else mix(hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))
+        h = hashes if k == 0 else mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
         votes = np.zeros(64, np.int64)
         for i in range(0, len(h), 16_384):
             part = h[i : i + 16_384].astype(">u8").view(np.uint8).reshape(-1, 8)
