@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -61,19 +62,24 @@ class Node:
 def parse(page: str) -> Node:
     root = Node("#root")
     stack, at, end = [root], 0, len(page)
+    is_open: Counter = Counter()  # so that deep nesting costs no walk for a tag that isn't open
 
     def text(s: str) -> None:
         if s:
             stack[-1].children.append(html.unescape(s) if "&" in s else s)
 
+    def cut(i: int) -> None:
+        is_open.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
     def close_to(names, barriers) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return close_to(names, barriers)
-            if stack[i].tag in barriers:
-                return None
-        return None
+        while any(is_open[n] for n in names):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in names:
+                    cut(i)
+                    break
+                if stack[i].tag in barriers:
+                    return
 
     while at < end:
         m = TOKEN.search(page, at)
@@ -87,20 +93,20 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m[1]:
-            if name == "p" and not any(n.tag == "p" for n in stack):
+            if name == "p" and not is_open["p"]:
                 stack[-1].children.append(Node("p"))
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == name:
-                    del stack[i:]
+                    cut(i)
                     break
-                if stack[i].tag in ("table", "td", "th") and name not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
+                if not is_open[name] or stack[i].tag in ("table", "td", "th") and name not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
                     break
             continue
         if name in CLOSES:
             close_to(*CLOSES[name])
         if name in BLOCK:
             close_to({"p"}, SCOPE)
-            if "head" in (n.tag for n in stack) and name != "html":
+            if name != "html":
                 close_to({"head"}, set())
         node = Node(name, m[3])
         stack[-1].children.append(node)
@@ -114,6 +120,7 @@ def parse(page: str) -> Node:
             at = stop.end() if stop else end
             continue
         stack.append(node)
+        is_open[name] += 1
     return root
 
 
@@ -239,7 +246,8 @@ def render(top: Node, out: Lines, indent: str = "", depth: int = 0) -> None:
         if i == len(node.children):
             if node.tag in BLOCK:
                 out.line()
-            if node.tag in SPACED:
+            inside = node.tag in ("ul", "ol") and todo and todo[-1][0].tag == "li"
+            if node.tag in SPACED and not inside:
                 out.gap = True
             continue
         todo.append((node, i + 1, indent, keeps, count))
