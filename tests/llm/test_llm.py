@@ -1,0 +1,169 @@
+import hashlib
+import random
+
+import duckdb
+import numpy as np
+import pytest
+
+from lattica.llm import compression, decontaminate, embedding_dedup, html_text, language, mixing, pii, simhash, substring_dedup
+from lattica.llm.queries import OP3, fold
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double"
+
+
+def words(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(["the", "of", "ant", "bee", "cat", "Dog", "éel", "fox\n"]) + str(r.randrange(60)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Nulls, empty, short and long texts, exact and near copies, repeated rows, a clashing column."""
+    long = words(3000, 1)
+    texts = [words(40, i) for i in range(20)] + [words(40, 3), words(40, 4) + " tail", "", None, "one", " \t", long, long[200:9000], "a " * 400]
+    rows = [(i, t, "en", f"s{i % 4}" if i % 9 else None, 1, 0.5) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[5], (None, words(40, 6), None, None, None, None)], DOCS)
+
+
+@pytest.fixture
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_substring_dedup(docs, empty):
+    got = {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(docs).collect()}
+    rows = [(r["doc_id"], (r["text"] or "").encode().split()) for r in docs.collect()]
+    order = lambda i: (i is None, i or 0)
+    first = {}
+    for i, w in sorted(rows, key=lambda x: order(x[0])):
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    want = set()
+    for i, w in rows:
+        gone = {j for k in range(len(w) - 12) if order(first[tuple(w[k : k + 13])]) < order(i) for j in range(k, k + 13)}
+        kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
+        want.add((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    assert got == want
+    assert substring_dedup.remove_repeats(empty).count() == 0
+    con = duckdb.connect()
+    con.register("documents", docs.filter("doc_id is not null").dropDuplicates().toArrow())
+    assert set(con.execute(OP3).fetchall()) <= want
+
+
+@pytest.mark.parametrize("radius", [0, 2, 9])
+def test_simhash(docs, empty, radius):
+    got = simhash.near_groups(docs, 3, radius).collect()
+    prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in got}
+    assert prints[22] == prints[23] == prints[25] == 0
+    ids = sorted(i for i in prints if i is not None)
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a in ids:
+            for b in ids:
+                if (prints[a] ^ prints[b]).bit_count() <= radius:
+                    root[a] = min(root[a], root[b])
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == root
+    assert simhash.near_groups(empty).count() == 0
+
+
+def test_tree_routes_all_pairs():
+    rng = np.random.default_rng(0)
+    p = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    q = p[:200] ^ (np.uint64(1) << rng.integers(0, 63, 200, dtype=np.uint64))
+    every = np.concatenate([p, q])
+    nodes = simhash.grow(p, 2, 100)
+    assert nodes
+    point, leaf, home = simhash.route(nodes, every, 2)
+    assert home.sum() == len(every)
+    own = dict(zip(point[home].tolist(), leaf[home].tolist(), strict=True))
+    seen = set(zip(point.tolist(), leaf.tolist(), strict=True))
+    assert all((3000 + i, own[i]) in seen for i in range(200))
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(12, 8))
+    v = np.concatenate([base, base[:6] + rng.normal(0, 0.08, (6, 8)), base[:2], base[:2] * 3])
+    rows = [(i, [float(x) for x in np.float32(e)]) for i, e in enumerate(v)]
+    rows += [(100, None), (101, []), (102, [0.0] * 8), (103, [float("nan")] * 8), (104, [1.0, None] * 4), (105, [1.0])]
+    got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    u = np.array([r[1] for r in rows[: len(v)]])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    for i in range(len(v)):
+        assert got[i]["n_links"] == near[i].sum() - 1
+    for i in range(100, 106):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
+
+
+def test_mixing(docs, empty):
+    got = mixing.mix_sources(docs).collect()
+    assert sum(r["taken"] for r in got) <= sum(r["size"] for r in got)
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"], 3 * r["size"]) for r in got)
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix_sources(docs).collect()))
+    assert mixing.mix_sources(empty).count() == 0
+
+
+def test_decontamination(spark, docs, empty):
+    item = " ".join(words(3000, 1).split()[100:130])
+    bench = spark.createDataFrame([(7, item), (8, "ONE"), (9, None), (10, "!!"), (11, item)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contamination(docs, bench).collect()}
+    assert (got[24]["n_hit"], got[24]["n_items"]) == (1, 1)
+    assert got[26]["n_items"] == 2 and got[26]["n_hit"] >= 30
+    assert got[26]["items_sha256"] == hashlib.sha256(b"11,7").hexdigest()
+    assert not got[23]["contaminated"] and got[23]["n_words"] == 0
+    con = duckdb.connect()
+    con.register("documents", docs.filter("doc_id is not null").dropDuplicates().toArrow())
+    con.register("benchmark", bench.toArrow())
+    for r in con.execute(decontaminate.ORACLE).fetchall():
+        assert tuple(got[r[0]])[:6] == r
+    assert decontaminate.contamination(empty, bench).count() == 0
+    assert {r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()} == {i for i, r in got.items() if not r["contaminated"]}
+
+
+def test_pii(spark, empty):
+    rows = [(1, "mail jo.1@mail.example.com or JO.1@MAIL.EXAMPLE.COM now"), (2, "call +1 (017) 555-7713, 10.0.0.7, 4111 1111 1111 1111"), (3, "4111111111111111 and Maria Garcia"), (4, None), (5, ""), (6, "version 4.0. no 12345")]
+    df = spark.createDataFrame([(*r, "x", "y", 1, 0.1) for r in rows], DOCS)
+    got = {r["doc_id"]: r for r in pii.replace_pii(df).collect()}
+    one = got[1]["text"].split()
+    assert one[1].upper() == one[3] and "jo.1" not in got[1]["text"]
+    assert got[2]["text"].startswith("call +1 (") and "555-7713" not in got[2]["text"]
+    card = got[3]["text"].split()[0]
+    assert card != "4111111111111111" and card == got[2]["text"].split(", ")[2].replace(" ", "")
+    assert got[3]["text"].split()[2] in pii.NAMES["f"]
+    assert got[4]["text"] is None and got[5]["text"] == "" and got[6]["text"] == rows[5][1] and got[6]["n_entities"] == 0
+    many = spark.createDataFrame([(i, f"ip {i % 256}.1.1.1 mail a{i}@b.co", "", "", 0, 0.0) for i in range(400)], DOCS)
+    out = [r["text"].split() for r in pii.replace_pii(many).collect()]
+    assert len({w[3] for w in out}) == 400 and len({w[1] for w in out}) == 256
+    assert pii.replace_pii(empty).count() == 0
+
+
+def test_html():
+    page = "<title>no</title><p>one<p>two<ul><li>a<ol><li>b</ol><li>c</ul><table><tr><th>n<th>v<tr><td>long<td>1</table><div hidden>x</div><pre>a  b\n c</pre><b>x</b>y &amp; z"
+    assert html_text.page_text(page) == "one\n\ntwo\n\n- a\n  1. b\n- c\n\nn     v\nlong  1\n\na  b\n c\n\nxy & z"
+    assert html_text.page_text("") == "" and html_text.page_text("<div>" * 5000 + "deep") == "deep"
+    assert html_text.page_text("a<script>if (a<b) '</p>'</script>b<!-- c --> d<br>e") == "ab d\ne"
+
+
+def test_classifiers(spark, empty):
+    rng = random.Random(4)
+    langs = {"en": "the of and that with this".split(), "fr": "le la les des que dans".split()}
+    rows, marks = [], []
+    for i in range(400):
+        lang = rng.choice(list(langs))
+        bad = i % 3 == 0
+        text = " ".join(rng.choice(langs[lang]) + rng.choice(["", "an", "or", "er"]) + (" dreadful" if bad and k % 9 == 0 else "") for k in range(60))
+        rows.append((i, text, lang, "s", 1, 0.0))
+        marks.append((i, int(not bad), int(bad)))
+    rows += [(1000, None, "en", "s", 1, 0.0), (1001, "", None, "s", 1, 0.0), (1002, "123 !!", "fr", "s", 1, 0.0)]
+    df, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in language.predict(df, language.fit(df, fold(5) > 0)).collect()}
+    assert sum(got[r[0]]["lang_pred"] == r[2] for r in rows[:400]) >= 396
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (1000, 1001, 1002))
+    model = compression.fit(df, labels, "toxic", fold(3) != 1, compression.Toxicity)
+    score = {r["doc_id"]: r["score"] for r in compression.score(df, model, 0.7).collect()}
+    assert min(score[i] for i in range(0, 399, 3)) > max(score[i] for i in range(1, 399, 3))
+    assert all(0 <= x <= 1 for x in score.values())
+    none = compression.fit(df, labels.limit(0), "toxic", fold(3) != 1, compression.Quality)
+    assert {r["score"] for r in compression.score(df, none, 0.3).collect()} == {0.5}
+    assert language.predict(empty, language.fit(empty, fold(5) > 0)).count() == 0
