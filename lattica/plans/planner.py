@@ -18,7 +18,7 @@ def bounds(start, end, predicate: Predicate | None) -> tuple[dt.datetime | None,
     high = _moment(end) - dt.timedelta(microseconds=1) if end is not None else None
     for c in conjuncts(predicate):
         if isinstance(c, Cmp) and c.field == "time" and isinstance(c.value, dt.date) and c.op != "!=":
-            t = _moment(c.value)
+            t = _moment(c.value) + dt.timedelta(microseconds={"<": -1, ">": 1}.get(c.op, 0))
             if c.op in ("=", ">=", ">"):
                 low = t if low is None else max(low, t)
             if c.op in ("=", "<=", "<"):
