@@ -48,7 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", surrogate_pii), ("mixing", mix)]
-#: Toxicity and fingerprints can't be told in SQL; tests hold the stages against brute force.
+#: Toxicity and fingerprints can't be told in SQL; the stages have no test against brute force yet, only their operators.
 ORACLE_SQL = None
 
 
