@@ -45,7 +45,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_groups(load(spark, sf_dir, "documents"))
+    return simhash.near_groups(load(spark, sf_dir, "documents")).drop("rk", "root", "head")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,9 @@ sizes within the factor s, so only neighbouring bands of sizes are compared.  ``
 gives fingerprints of 64 * words bits; then the first 64 bits only select candidates.
 
 Null or empty texts have the fingerprint zero and are linked like any other.  Texts of fewer
-words than a shingle are one shingle.  Null ids are never representatives if there is another.
+words than a shingle are one shingle.  Null ids are never representatives if there is another;
+ids within 2**56 of the largest long are taken for null ones.  Rows that repeat a doc_id are
+each compared by their own text; of several classes with one smallest id, one goes by that id.
 """
 
 from __future__ import annotations
@@ -30,13 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import LAST_ID, column, components, mix, pin, small_batches, texts
+from lattica.llm.common import LAST_ID, column, components, mix, pin, row_key, small_batches, texts
 
 SEED = 42
 #: Fingerprints that the driver builds the tree's upper part from, and members of a leaf aimed at.
 SAMPLE, LEAF, TILE = 32_768, 2_048, 4_096
 #: A node is split only if under this share of queries would go both ways.
 OVERLAP = 0.7
+#: Ids that stand for classes without an id of their own: the last NAMELESS longs.
+NAMELESS = 1 << 56
 
 
 def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -75,18 +79,19 @@ def _fingerprints(shingle: int, words: int):
             made = [(len(h), fingerprint(h, words)) for h in (_shingle_hashes(t, shingle) for t in texts(batch.column("text")))]
             cols = [pa.array([_signed(f[k]) for _, f in made], pa.int64()) for k in range(words)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([n for n, _ in made], pa.int64()), *cols],
-                names=["doc_id", "n", *(f"f{k}" for k in range(words))],
+                [batch.column("doc_id"), batch.column("rk"), pa.array([n for n, _ in made], pa.int64()), *cols],
+                names=["doc_id", "rk", "n", *(f"f{k}" for k in range(words))],
             )
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """doc_id, n (shingles) and f0.. (the fingerprint, as signed longs) of each row."""
+    """doc_id, rk (the row's key), n (shingles) and f0.. (the fingerprint, as signed longs) of each row."""
     small_batches(docs.sparkSession)
-    schema = "doc_id long, n long, " + ", ".join(f"f{k} long" for k in range(words))
-    return docs.select(column("doc_id").alias("doc_id"), column("text").alias("text")).mapInArrow(_fingerprints(shingle, words), schema)
+    schema = "doc_id long, rk long, n long, " + ", ".join(f"f{k} long" for k in range(words))
+    doc_id, text = column("doc_id"), column("text")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), row_key(doc_id, text).alias("rk")).mapInArrow(_fingerprints(shingle, words), schema)
 
 
 # ---- the tree -------------------------------------------------------------------------
@@ -188,8 +193,9 @@ def _compare(words: int, radius: int, wide_radius: int):
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, wide_radius: int = 0, size_ratio: float = 0.0) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id of each row.
+    """doc_id, fingerprint (hex), component_id, rk (the row's key), root and head of each row.
 
+    root tells components apart; head is true for the rows of the component's smallest id.
     Classes link at ``radius`` or fewer differing bits among the first 64; with ``words`` over 1
     also at ``wide_radius`` or fewer of all bits.
     """
@@ -199,7 +205,12 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int =
     key = [*names, "band"]
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / math.log(1 / size_ratio)).cast("int") if size_ratio else F.lit(0)
     rows = rows.withColumn("band", band)
-    classes = pin(rows.groupBy(*key).agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("id")))
+    nameless = F.lit(LAST_ID) - F.pmod(F.xxhash64(*key), F.lit(NAMELESS))
+    rows = rows.withColumn("node", F.coalesce("doc_id", nameless))
+    owned = pin(rows.groupBy(*key).agg(F.min("node").alias("own")))
+    shared = pin(owned.groupBy("own").agg(F.min(F.struct(*key)).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    other = F.col("first").isNotNull() & (F.col("first") != F.struct(*key))
+    classes = pin(owned.join(shared, "own", "left").select(*key, "own", F.when(other, nameless).otherwise(F.col("own")).alias("id")))
     total = classes.count()
     leaves = max(1.0, total / LEAF)
     share = min(1.0, SAMPLE / max(1, total))
@@ -237,7 +248,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int =
     )
     edges = placed.select(*names, "id", "home", "band", "leaf", "task").groupBy("band", "leaf", "task").applyInPandas(_compare(words, radius, wide_radius), "a long, b long")
     joined = components(edges)
-    roots = pin(classes.join(joined, classes["id"] == joined["node"], "left").select(*key, F.coalesce("root", "id").alias("component_id")))
+    roots = pin(classes.join(joined, classes["id"] == joined["node"], "left").select(*key, "own", "id", F.coalesce("root", "id").alias("root")))
     hexed = F.concat(*(F.lpad(F.lower(F.hex(k)), 16, "0") for k in names))
-    shown = F.when(F.col("component_id") != LAST_ID, F.col("component_id"))
-    return rows.join(roots, key).select("doc_id", hexed.alias("fingerprint"), shown.alias("component_id"))
+    shown = F.coalesce(*(F.when(F.col(c) <= LAST_ID - NAMELESS, F.col(c)) for c in ("root", "own")))
+    head = (F.col("node") == F.col("own")) & (F.col("id") == F.col("root"))
+    return rows.join(roots, key).select("doc_id", hexed.alias("fingerprint"), shown.alias("component_id"), "rk", "root", head.alias("head"))
