@@ -10,9 +10,12 @@ skip that splitting costs more than it saves becomes a leaf.  Leaves over ``TILE
 cut into tiles, and each pair of tiles is a task row group of bounded size.  A leaf reports a
 spanning forest of its links, not the links, so a group of m copies yields under m rows.
 
-``size_ratio``, for near-duplicates at a similarity: sets of shingles of similarity s have
-sizes within the factor s, so only neighbouring bands of sizes are compared.  ``words`` over 1
-gives fingerprints of 64 * words bits; then the first 64 bits only select candidates.
+``similarity`` s, for near-duplicates by the Jaccard similarity of their sets of shingles: sets
+of similarity s have sizes within the factor s, so only neighbouring bands of sizes are compared,
+and fingerprints only select candidates.  A class is then one set of shingles, and classes link
+only if their sets (of 64-bit hashes), compared within each component of the candidates, have
+the similarity.  Large components are cut into tiles like leaves.  ``words`` over 1 gives
+fingerprints of 64 * words bits; then the first 64 bits only select candidates.
 
 Null or empty texts have the fingerprint zero and are linked like any other.  Texts of fewer
 words than a shingle are one shingle.  Null ids are never representatives if there is another;
@@ -32,11 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import LAST_ID, column, components, mix, pin, row_key, small_batches, texts
+from lattica.llm.common import LAST_ID, bitmap, column, components, in_bitmap, mix, pin, row_key, slices, small_batches, texts
 
 SEED = 42
 #: Fingerprints that the driver builds the tree's upper part from, and members of a leaf aimed at.
 SAMPLE, LEAF, TILE = 32_768, 2_048, 4_096
+#: Sets, and shingles in them, of a tile of a component; bins that share the small components.
+SETS, SHINGLES, BINS = 1_024, 1 << 20, 64
 #: A node is split only if under this share of queries would go both ways.
 OVERLAP = 0.7
 #: Ids that stand for classes without an id of their own: the last NAMELESS longs.
@@ -76,20 +81,25 @@ def _signed(x: int) -> int:
 def _fingerprints(shingle: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(len(h), fingerprint(h, words)) for h in (_shingle_hashes(t, shingle) for t in texts(batch.column("text")))]
-            cols = [pa.array([_signed(f[k]) for _, f in made], pa.int64()) for k in range(words)]
+            made = []
+            for t in texts(batch.column("text")):
+                h = _shingle_hashes(t, shingle)
+                own = np.unique(h)
+                made.append((len(h), xxhash.xxh64_intdigest(own.tobytes(), SEED), len(own), fingerprint(h, words)))
+            cols = [pa.array([_signed(f[k]) for *_, f in made], pa.int64()) for k in range(words)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("rk"), pa.array([n for n, _ in made], pa.int64()), *cols],
-                names=["doc_id", "rk", "n", *(f"f{k}" for k in range(words))],
+                [batch.column("doc_id"), batch.column("rk"), *(pa.array([_signed(m[k]) for m in made], pa.int64()) for k in range(3)), *cols],
+                names=["doc_id", "rk", "n", "own_set", "n_set", *(f"f{k}" for k in range(words))],
             )
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """doc_id, rk (the row's key), n (shingles) and f0.. (the fingerprint, as signed longs) of each row."""
+    """doc_id, rk (the row's key), n (shingles), own_set and n_set (hash and size of their set) and f0.. (the
+    fingerprint, as signed longs) of each row."""
     small_batches(docs.sparkSession)
-    schema = "doc_id long, rk long, n long, " + ", ".join(f"f{k} long" for k in range(words))
+    schema = "doc_id long, rk long, n long, own_set long, n_set long, " + ", ".join(f"f{k} long" for k in range(words))
     doc_id, text = column("doc_id"), column("text")
     return docs.select(doc_id.alias("doc_id"), text.alias("text"), row_key(doc_id, text).alias("rk")).mapInArrow(_fingerprints(shingle, words), schema)
 
@@ -192,18 +202,105 @@ def _compare(words: int, radius: int, wide_radius: int):
     return run
 
 
-def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, wide_radius: int = 0, size_ratio: float = 0.0) -> DataFrame:
+# ---- exact similarity -----------------------------------------------------------------
+
+
+def similar(sets: list[np.ndarray], tile: np.ndarray, similarity: float) -> np.ndarray:
+    """Labels of ``sets`` (sorted, distinct) after joining those that have the Jaccard similarity.
+
+    Of two tiles, only pairs of one set from each are compared; pairs joined already are not.
+    """
+    n = np.array([len(x) for x in sets])
+    labels = np.arange(len(sets))
+    cross = tile.min() != tile.max()
+    codes = ends = docs = None
+    enough = lambda both, a, b: both >= similarity * (a + b - both) - 1e-9
+
+    def differ(q: int) -> np.ndarray:
+        may = (tile != tile[q]) if cross else np.arange(len(sets)) < q
+        return np.flatnonzero(may & (labels != labels[q]) & (np.minimum(n, n[q]) >= similarity * np.maximum(n, n[q]) - 1e-9))
+
+    for q in np.flatnonzero(tile == tile.min()):
+        left = differ(q)
+        # one set of a few groups first: where all are alike, one comparison joins a set to them
+        for b in left[np.unique(labels[left], return_index=True)[1][:3]]:
+            if labels[b] != labels[q] and enough(len(np.intersect1d(sets[q], sets[b], assume_unique=True)), n[q], n[b]):
+                labels = forest(len(sets), np.array([q]), np.array([b]), labels)
+        left = differ(q)
+        if not len(left):
+            continue
+        if codes is None:  # for each shingle, the sets that hold it
+            every, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+            docs = np.repeat(np.arange(len(sets)), n)[np.argsort(inverse, kind="stable")]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(every)))])
+            codes = np.split(inverse, np.cumsum(n)[:-1])
+        first, size = ends[codes[q]], ends[codes[q] + 1] - ends[codes[q]]
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        both = np.bincount(docs[at], minlength=len(sets))[left]
+        left = left[enough(both, n[q], n[left])]
+        labels = forest(len(sets), np.full(len(left), q), left, labels)
+    return labels
+
+
+def _confirm(similarity: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, part in group.groupby("root"):
+            part = part.sort_values("id", kind="stable")
+            ids = part["id"].to_numpy()
+            labels = similar([np.asarray(x).view(np.uint64) for x in part["shingles"]], part["tile"].to_numpy(), similarity)
+            found = np.flatnonzero(labels != np.arange(len(ids)))
+            a.append(ids[found])
+            b.append(ids[labels[found]])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
+def _sets(bits: np.ndarray, shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            whole = whole.filter(pa.array(in_bitmap(bits, whole.column("rk").to_numpy().view(np.uint64))))
+            for batch in slices(whole):
+                made = [np.unique(_shingle_hashes(t, shingle)).view(np.int64) for t in texts(batch.column("text"))]
+                yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("rk"), pa.array(made, pa.list_(pa.int64()))], names=["d", "rk", "shingles"])
+
+    return run
+
+
+def confirmed(docs: DataFrame, members: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) of classes in one component whose sets of shingles have the similarity, as a spanning forest of each tile pair.
+
+    members: id and root of a class, n_set, and d and rk of one row of it.
+    """
+    members = pin(members)
+    n = members.count()
+    bits = bitmap(members, "rk", n)
+    doc_id, text = column("doc_id"), column("text")
+    given = docs.select(F.coalesce(doc_id, F.lit(-1)).alias("d"), row_key(doc_id, text).alias("rk"), text.alias("text"))
+    sets = given.mapInArrow(_sets(bits, shingle), "d long, rk long, shingles array<long>").dropDuplicates(["d", "rk"])
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum("n_set") / SHINGLES)).cast("int").alias("t"))
+    bins = max(BINS, (members.agg(F.sum("n_set")).first()[0] or 0) // SHINGLES)
+    small = F.col("t") <= 1
+    tile = F.pmod(F.xxhash64("id", F.lit(3)), F.col("t")).cast("int")
+    placed = pin(members.join(sizes, "root").select("id", "root", "d", "rk", small.alias("small"), "t", tile.alias("tile"), F.when(small, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("g")))
+    placed = placed.join(sets, ["d", "rk"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    placed = placed.select("id", "root", "small", "g", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "shingles")
+    return placed.groupBy("small", "g", "low", "high").applyInPandas(_confirm(similarity), "a long, b long")
+
+
+def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, wide_radius: int = 0, similarity: float = 0.0) -> DataFrame:
     """doc_id, fingerprint (hex), component_id, rk (the row's key), root and head of each row.
 
     root tells components apart; head is true for the rows of the component's smallest id.
     Classes link at ``radius`` or fewer differing bits among the first 64; with ``words`` over 1
-    also at ``wide_radius`` or fewer of all bits.
+    also at ``wide_radius`` or fewer of all bits; with ``similarity``, if their sets of shingles have it too.
     """
     spark = docs.sparkSession
     names = [f"f{k}" for k in range(words)]
     rows = pin(fingerprints(docs, shingle, words))
-    key = [*names, "band"]
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / math.log(1 / size_ratio)).cast("int") if size_ratio else F.lit(0)
+    key = [*names, "band", *(["own_set", "n_set"] if similarity else [])]
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / math.log(1 / similarity)).cast("int") if similarity else F.lit(0)
     rows = rows.withColumn("band", band)
     nameless = F.lit(LAST_ID) - F.pmod(F.xxhash64(*key), F.lit(NAMELESS))
     rows = rows.withColumn("node", F.coalesce("doc_id", nameless))
@@ -226,13 +323,15 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int =
             part = batch.take(pa.array(own))
             take = [part.column(k) for k in (*names, "id")]
             # a class is asked for in its own band and in the next, so each pair of bands meets once
-            for up in (0, 1) if size_ratio else (0,):
+            for up in (0, 1) if similarity else (0,):
                 yield pa.RecordBatch.from_arrays([*take, pa.array((band + up).astype(np.int32)), pa.array(leaf.astype(np.int32)), pa.array(np.zeros(len(own), bool))], names=[*names, "id", "band", "leaf", "home"])
             h = pa.array(home)
             yield pa.RecordBatch.from_arrays([*(x.filter(h) for x in take), pa.array(band[home].astype(np.int32)), pa.array(leaf[home].astype(np.int32)), pa.array(np.ones(int(home.sum()), bool))], names=[*names, "id", "band", "leaf", "home"])
 
     schema = ", ".join(f"{k} long" for k in names) + ", id long, band int, leaf int, home boolean"
-    dealt = classes.select(*names, "id", "band").mapInArrow(deal, schema)
+    # a set has another one of the similarity only if one shingle more leaves it so similar
+    some = classes.filter(F.col("n_set") >= similarity * (F.col("n_set") + 1) - 1e-9) if similarity else classes
+    dealt = some.select(*names, "id", "band").mapInArrow(deal, schema)
     sizes = dealt.groupBy("band", "leaf").agg(F.sum(F.col("home").cast("int")).alias("m"), F.sum((~F.col("home")).cast("int")).alias("q"))
     # tiles of members and of queries: a task row group has at most about 2 * TILE members and 16 * TILE queries
     tiles = pin(sizes.filter("m > 0 and m + q > 1").select("band", "leaf", F.ceil(F.col("m") / TILE).cast("int").alias("tm"), F.ceil(F.col("q") / (8 * TILE)).cast("int").alias("tq")))
@@ -248,6 +347,12 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int =
     )
     edges = placed.select(*names, "id", "home", "band", "leaf", "task").groupBy("band", "leaf", "task").applyInPandas(_compare(words, radius, wide_radius), "a long, b long")
     joined = components(edges)
+    if similarity:
+        maybe = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
+        maybe = classes.join(maybe, classes["id"] == maybe["node"]).select(*key, "id", "root")
+        one = F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("d"), "rk")).alias("one")
+        members = rows.join(maybe, key).groupBy("id", "root", "n_set").agg(one).select("id", "root", "n_set", "one.d", "one.rk")
+        joined = components(confirmed(docs, members, shingle, similarity))
     roots = pin(classes.join(joined, classes["id"] == joined["node"], "left").select(*key, "own", "id", F.coalesce("root", "id").alias("root")))
     hexed = F.concat(*(F.lpad(F.lower(F.hex(k)), 16, "0") for k in names))
     shown = F.coalesce(*(F.when(F.col(c) <= LAST_ID - NAMELESS, F.col(c)) for c in ("root", "own")))
