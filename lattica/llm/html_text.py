@@ -2,8 +2,11 @@
 
 A tokenizer feeds a tree builder that closes implied tags (a list item ends the one before,
 a block ends a paragraph, a cell ends a cell, and so on) and knows void elements and raw text.
-The renderer then walks the tree: elements that browsers don't show (head, script, style,
-template, noscript, hidden attributes, display:none and visibility:hidden) give nothing;
+A cell outside a row begins one, and what stands in a table but in no cell moves before it, as
+in browsers.  The renderer then walks the tree: elements that browsers don't show (head, script,
+style, template, noscript, the hidden attribute, a style of display:none or visibility:hidden,
+definitions in svg, annotations in math) give nothing; text in svg, math and textarea is shown,
+and all options of a select, a line each;
 blocks stand on lines of their own, with an empty line around paragraphs, headings, lists and
 tables; list items get a bullet or their number and an indent; cells of a table's rows are
 padded to columns; pre keeps its spaces; other runs of white space become one space.
@@ -28,9 +31,16 @@ from lattica.llm.common import column, small_batches
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math select datalist textarea meta link".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist meta link".split())
+# Not shown within the element of the key.
+UNSEEN_IN = {
+    "svg": frozenset("defs symbol clippath mask pattern marker lineargradient radialgradient filter desc metadata".split()),
+    "math": frozenset("annotation annotation-xml".split()),
+}
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 BLOCK = SPACED | frozenset("html body address article aside center dd details dialog dir div dt fieldset figcaption footer form header hgroup hr legend li main menu nav section summary caption tr thead tbody tfoot".split())
+# Elements on lines of their own: blocks, and those inline elements that stand apart.
+LINED = BLOCK | frozenset("option optgroup textarea text".split())
 # An opening tag (key) closes those open elements, unless one of the barriers is nearer.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -44,9 +54,18 @@ CLOSES = {
     "body": ({"head"}, set()),
 }
 CLOSES["thead"] = CLOSES["tfoot"] = CLOSES["tbody"]
+# An opening tag (key) goes back to the nearest of those elements.
+ROOM = {"tr": {"tbody", "thead", "tfoot", "table"}, "tbody": {"table"}}
+ROOM["td"] = ROOM["th"] = ROOM["tr"] | {"tr"}
+ROOM["thead"] = ROOM["tfoot"] = ROOM["caption"] = ROOM["colgroup"] = ROOM["tbody"]
+GROUPS = {"tbody", "thead", "tfoot", "tr", "colgroup"}
+# What may stand in them; all else moves before the table.
+PARTS = GROUPS | {"td", "th", "caption", "col", "script", "style", "template"}
 SCOPE = {"td", "th", "table", "caption", "button", "object", "html"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|aria-hidden\s*=\s*[\"']?true", re.I)
+HIDES = re.compile(r"hidden|style", re.I)
+ATTR = re.compile(r"([^\s/=>][^\s/=>]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'][^\s]*))?")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 START = re.compile(r"start\s*=\s*[\"']?(-?\d{1,9})", re.I)
 SPAN = re.compile(r"colspan\s*=\s*[\"']?(\d{1,3})", re.I)
 WHITE = re.compile(r"[ \t\r\n\f]+")
@@ -59,14 +78,43 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+def hidden(attrs: str) -> bool:
+    """Whether the hidden attribute or the style hides the element; a display in the style goes before the attribute."""
+    if not HIDES.search(attrs):
+        return False
+    values: dict[str, str] = {}
+    for m in ATTR.finditer(attrs):
+        values.setdefault(m[1].lower(), m[2] or "")
+    style: dict[str, tuple[bool, str]] = {}
+    for part in COMMENT.sub("", html.unescape(values.get("style", "").strip("\"'"))).split(";"):
+        name, _, value = part.partition(":")
+        name, (value, mark, _) = name.strip().lower(), value.strip().lower().partition("!")
+        if value.strip() and (mark or not style.get(name, (False,))[0]):
+            style[name] = (bool(mark), value.strip())
+    if style.get("visibility", (False, ""))[1] in ("hidden", "collapse"):
+        return True
+    return style["display"][1] == "none" if "display" in style else "hidden" in values
+
+
 def parse(page: str) -> Node:
     root = Node("#root")
     stack, at, end = [root], 0, len(page)
     is_open: Counter = Counter()  # so that deep nesting costs no walk for a tag that isn't open
 
+    def add(child) -> None:
+        """Puts ``child`` into the open element, or before the table if it may not stand there."""
+        i = len(stack) - 1
+        if child.strip() if isinstance(child, str) else child.tag not in PARTS:
+            while stack[i].tag in GROUPS:
+                i -= 1
+            if stack[i].tag == "table":
+                stack[i - 1].children.insert(len(stack[i - 1].children) - 1, child)
+                return
+        stack[-1].children.append(child)
+
     def text(s: str) -> None:
         if s:
-            stack[-1].children.append(html.unescape(s) if "&" in s else s)
+            add(html.unescape(s) if "&" in s else s)
 
     def cut(i: int) -> None:
         is_open.subtract(n.tag for n in stack[i:])
@@ -94,7 +142,7 @@ def parse(page: str) -> Node:
         name = name.lower()
         if m[1]:
             if name == "p" and not is_open["p"]:
-                stack[-1].children.append(Node("p"))
+                add(Node("p"))
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == name:
                     cut(i)
@@ -108,13 +156,33 @@ def parse(page: str) -> Node:
             close_to({"p"}, SCOPE)
             if name != "html":
                 close_to({"head"}, set())
+        if name in ROOM and is_open["table"]:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in ROOM[name]:
+                    cut(i + 1)
+                    break
+            if name in ("td", "th") and stack[-1].tag != "tr":
+                row = Node("tr")
+                stack[-1].children.append(row)
+                stack.append(row)
+                is_open["tr"] += 1
+        elif name == "table" and is_open["table"]:
+            i = len(stack) - 1
+            while stack[i].tag in GROUPS:
+                i -= 1
+            if stack[i].tag == "table":  # a table ends the one that it would stand in outside a cell
+                cut(i)
         node = Node(name, m[3])
-        stack[-1].children.append(node)
-        if name in VOID or m[3].endswith("/") and name in ("path", "circle", "rect", "line", "use"):
+        if any(is_open[k] and name in names for k, names in UNSEEN_IN.items()):
+            node.attrs = "hidden " + m[3]
+        add(node)
+        if name in VOID or m[3].endswith("/") and (is_open["svg"] or is_open["math"] or name in ("path", "circle", "rect", "line", "use")):
             continue
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             body = page[at : stop.start() if stop else end]
+            if name == "textarea":
+                body = re.sub(r"\A\r?\n", "", body)
             if body:
                 node.children.append(html.unescape(body) if name in ("title", "textarea") else body)
             at = stop.end() if stop else end
@@ -185,7 +253,7 @@ def _rows(table: Node):
     todo = list(reversed(table.children))
     while todo:
         n = todo.pop()
-        if isinstance(n, str) or HIDDEN.search(n.attrs):
+        if isinstance(n, str) or hidden(n.attrs):
             continue
         if n.tag == "tr":
             yield n
@@ -195,16 +263,17 @@ def _rows(table: Node):
 
 def _table(table: Node, out: Lines, indent: str, depth: int) -> None:
     for n in table.children:
-        if not isinstance(n, str) and n.tag == "caption":
+        if not isinstance(n, str) and n.tag == "caption" and not hidden(n.attrs):
             render(n, out, indent, depth)
             out.line()
-    grid, rest = [], []
+    grid = []
     for row in _rows(table):
         cells = []
         for n in row.children:
+            # the tree builder leaves nothing else that is shown in a row
             if isinstance(n, str) or n.tag not in ("td", "th"):
                 continue
-            if HIDDEN.search(n.attrs):
+            if hidden(n.attrs):
                 continue
             inner = Lines()
             render(n, inner, "", depth + 1)
@@ -213,16 +282,6 @@ def _table(table: Node, out: Lines, indent: str, depth: int) -> None:
             cells.extend([[]] * (min(int(span[1]), 100) - 1 if span else 0))
         if any(cells):
             grid.append(cells)
-    # what stands in the table but in no cell is shown before it, as browsers do
-    for n in table.children:
-        if isinstance(n, str) and n.strip():
-            rest.append(n)
-        elif not isinstance(n, str) and n.tag not in ("caption", "tr", "thead", "tbody", "tfoot", "colgroup", "col"):
-            rest.append(n)
-    if rest:
-        stray = Node("div")
-        stray.children = rest
-        render(stray, out, indent, depth)
     widths: list[int] = []
     for cells in grid:
         for i, c in enumerate(cells):
@@ -244,7 +303,7 @@ def render(top: Node, out: Lines, indent: str = "", depth: int = 0) -> None:
     while todo:
         node, i, indent, keeps, count = todo.pop()
         if i == len(node.children):
-            if node.tag in BLOCK:
+            if node.tag in LINED:
                 out.line()
             inside = node.tag in ("ul", "ol") and todo and todo[-1][0].tag == "li"
             if node.tag in SPACED and not inside:
@@ -259,7 +318,7 @@ def render(top: Node, out: Lines, indent: str = "", depth: int = 0) -> None:
                 out.word(child, indent)
             continue
         tag = child.tag
-        if tag in UNSEEN or (child.attrs and HIDDEN.search(child.attrs)):
+        if tag in UNSEEN or (child.attrs and hidden(child.attrs)):
             continue
         if tag == "br":
             if out.now:
@@ -272,7 +331,7 @@ def render(top: Node, out: Lines, indent: str = "", depth: int = 0) -> None:
             continue
         if tag == "img":
             continue
-        if tag in BLOCK:
+        if tag in LINED:
             out.line()
         nested = node.tag == "li" and tag in ("ul", "ol")
         if tag in SPACED and not nested:
@@ -298,7 +357,7 @@ def render(top: Node, out: Lines, indent: str = "", depth: int = 0) -> None:
             inner = indent + "  "
         elif tag in ("td", "th"):
             out.word(" ", indent)
-        todo.append((child, 0, inner, keeps or tag == "pre", own))
+        todo.append((child, 0, inner, keeps or tag in ("pre", "textarea"), own))
 
 
 def page_text(page: str) -> str:
