@@ -10,7 +10,8 @@ skip that splitting costs more than it saves becomes a leaf.  Leaves over ``TILE
 cut into tiles, and each pair of tiles is a task row group of bounded size.  A leaf reports a
 spanning forest of its links, not the links, so a group of m copies yields under m rows.
 
-``similarity`` s, for near-duplicates by the Jaccard similarity of their sets of shingles: sets
+``similarity`` s, for near-duplicates by the Jaccard similarity of their sets of shingles: a
+shingle that repeats counts once, in the fingerprint too; sets
 of similarity s have sizes within the factor s, so only neighbouring bands of sizes are compared,
 and fingerprints only select candidates.  A class is then one set of shingles, and classes link
 only if their sets (of 64-bit hashes), compared within each component of the candidates, have
@@ -78,30 +79,30 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _fingerprints(shingle: int, words: int):
+def _fingerprints(shingle: int, words: int, sets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for t in texts(batch.column("text")):
-                h = _shingle_hashes(t, shingle)
-                own = np.unique(h)
-                made.append((len(h), xxhash.xxh64_intdigest(own.tobytes(), SEED), len(own), fingerprint(h, words)))
+            hashes = (_shingle_hashes(t, shingle) for t in texts(batch.column("text")))
+            made = [(len(h), xxhash.xxh64_intdigest(h.tobytes(), SEED) if sets else 0, fingerprint(h, words)) for h in (np.unique(h) if sets else h for h in hashes)]
             cols = [pa.array([_signed(f[k]) for *_, f in made], pa.int64()) for k in range(words)]
+            own = [pa.array([_signed(s) for _, s, _ in made], pa.int64())] if sets else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("rk"), *(pa.array([_signed(m[k]) for m in made], pa.int64()) for k in range(3)), *cols],
-                names=["doc_id", "rk", "n", "own_set", "n_set", *(f"f{k}" for k in range(words))],
+                [batch.column("doc_id"), batch.column("rk"), pa.array([n for n, *_ in made], pa.int64()), *own, *cols],
+                names=["doc_id", "rk", "n", *(["own_set"] if sets else []), *(f"f{k}" for k in range(words))],
             )
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """doc_id, rk (the row's key), n (shingles), own_set and n_set (hash and size of their set) and f0.. (the
-    fingerprint, as signed longs) of each row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, sets: bool = False) -> DataFrame:
+    """doc_id, rk (the row's key), n (shingles) and f0.. (the fingerprint, as signed longs) of each row.
+
+    With ``sets`` each shingle counts once, and own_set is a hash of the set.
+    """
     small_batches(docs.sparkSession)
-    schema = "doc_id long, rk long, n long, own_set long, n_set long, " + ", ".join(f"f{k} long" for k in range(words))
+    schema = f"doc_id long, rk long, n long, {'own_set long, ' if sets else ''}" + ", ".join(f"f{k} long" for k in range(words))
     doc_id, text = column("doc_id"), column("text")
-    return docs.select(doc_id.alias("doc_id"), text.alias("text"), row_key(doc_id, text).alias("rk")).mapInArrow(_fingerprints(shingle, words), schema)
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), row_key(doc_id, text).alias("rk")).mapInArrow(_fingerprints(shingle, words, sets), schema)
 
 
 # ---- the tree -------------------------------------------------------------------------
@@ -271,7 +272,7 @@ def _sets(bits: np.ndarray, shingle: int):
 def confirmed(docs: DataFrame, members: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) of classes in one component whose sets of shingles have the similarity, as a spanning forest of each tile pair.
 
-    members: id and root of a class, n_set, and d and rk of one row of it.
+    members: id and root of a class, n, and d and rk of one row of it.
     """
     members = pin(members)
     n = members.count()
@@ -279,8 +280,8 @@ def confirmed(docs: DataFrame, members: DataFrame, shingle: int, similarity: flo
     doc_id, text = column("doc_id"), column("text")
     given = docs.select(F.coalesce(doc_id, F.lit(-1)).alias("d"), row_key(doc_id, text).alias("rk"), text.alias("text"))
     sets = given.mapInArrow(_sets(bits, shingle), "d long, rk long, shingles array<long>").dropDuplicates(["d", "rk"])
-    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum("n_set") / SHINGLES)).cast("int").alias("t"))
-    bins = max(BINS, (members.agg(F.sum("n_set")).first()[0] or 0) // SHINGLES)
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum("n") / SHINGLES)).cast("int").alias("t"))
+    bins = max(BINS, (members.agg(F.sum("n")).first()[0] or 0) // SHINGLES)
     small = F.col("t") <= 1
     tile = F.pmod(F.xxhash64("id", F.lit(3)), F.col("t")).cast("int")
     placed = pin(members.join(sizes, "root").select("id", "root", "d", "rk", small.alias("small"), "t", tile.alias("tile"), F.when(small, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("g")))
@@ -298,8 +299,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int =
     """
     spark = docs.sparkSession
     names = [f"f{k}" for k in range(words)]
-    rows = pin(fingerprints(docs, shingle, words))
-    key = [*names, "band", *(["own_set", "n_set"] if similarity else [])]
+    rows = pin(fingerprints(docs, shingle, words, similarity > 0))
+    key = [*names, "band", *(["own_set", "n"] if similarity else [])]
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / math.log(1 / similarity)).cast("int") if similarity else F.lit(0)
     rows = rows.withColumn("band", band)
     nameless = F.lit(LAST_ID) - F.pmod(F.xxhash64(*key), F.lit(NAMELESS))
@@ -330,7 +331,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int =
 
     schema = ", ".join(f"{k} long" for k in names) + ", id long, band int, leaf int, home boolean"
     # a set has another one of the similarity only if one shingle more leaves it so similar
-    some = classes.filter(F.col("n_set") >= similarity * (F.col("n_set") + 1) - 1e-9) if similarity else classes
+    some = classes.filter(F.col("n") >= similarity * (F.col("n") + 1) - 1e-9) if similarity else classes
     dealt = some.select(*names, "id", "band").mapInArrow(deal, schema)
     sizes = dealt.groupBy("band", "leaf").agg(F.sum(F.col("home").cast("int")).alias("m"), F.sum((~F.col("home")).cast("int")).alias("q"))
     # tiles of members and of queries: a task row group has at most about 2 * TILE members and 16 * TILE queries
@@ -351,7 +352,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int =
         maybe = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
         maybe = classes.join(maybe, classes["id"] == maybe["node"]).select(*key, "id", "root")
         one = F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("d"), "rk")).alias("one")
-        members = rows.join(maybe, key).groupBy("id", "root", "n_set").agg(one).select("id", "root", "n_set", "one.d", "one.rk")
+        members = rows.join(maybe, key).groupBy("id", "root", "n").agg(one).select("id", "root", "n", "one.d", "one.rk")
         joined = components(confirmed(docs, members, shingle, similarity))
     roots = pin(classes.join(joined, classes["id"] == joined["node"], "left").select(*key, "own", "id", F.coalesce("root", "id").alias("root")))
     hexed = F.concat(*(F.lpad(F.lower(F.hex(k)), 16, "0") for k in names))

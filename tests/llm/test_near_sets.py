@@ -69,6 +69,18 @@ def test_tiles_link_the_same(spark, varied, monkeypatch):
     assert near(spark, varied)[0] == sorted(set(groups(varied)))
 
 
+def test_repeated_shingles_count_once(spark):
+    """A text pasted twice, a line said many times over, and texts that share only such a line."""
+    r = random.Random(3)
+    texts = [" ".join(prose(100, r)) for _ in range(4)]
+    line = " ".join(prose(6, r))
+    texts += [f"{texts[0]} {texts[0]}", " ".join([texts[1], *[line] * 3]), " ".join([texts[1], *[line] * 60])]
+    texts += [" ".join([t, *["same"] * 300]) for t in (texts[2], " ".join(prose(90, r)))]
+    want = sorted(set(groups(texts)))
+    assert 4 not in want and 6 not in want and 8 in want
+    assert near(spark, texts)[0] == want
+
+
 def test_similar():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.choice(40, rng.integers(1, 40)).astype(np.uint64)) for _ in range(150)]
