@@ -33,9 +33,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """``spark.checkpoint.dir``; a folder of our own only where that is unset, and only on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="lattica-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -60,7 +63,16 @@ def pin(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/lattica-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pinned_at = path
+    return out
+
+
+def free(*pinned: DataFrame) -> None:
+    """Removes the files of pinned frames that nothing reads any more; of other frames, nothing."""
+    for df in pinned:
+        if path := getattr(df, "_pinned_at", None):
+            _remove(df.sparkSession, path)
 
 
 def column(name: str) -> Column:
@@ -188,6 +200,29 @@ def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
+#: Bits of a key filter: at most 2**20 rows of two numbers are broadcast (some 40 MB), whatever there is.
+FILTER_BITS = 26
+
+
+def may_hold(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Splits ``rows`` into those whose ``key`` (long) may be in column ``name`` of ``keys``, and the others, which aren't.
+
+    DataFrame functions only: the filter is a table of 64-bit words that each row looks its bit up in.
+    So the rows that can't match take no part in the exact join behind it.  A filter that is full (of
+    more keys than about ``2**FILTER_BITS``) only lets more rows pass.  Null keys are in neither.
+    """
+    n = keys.count()
+    bits = min(FILTER_BITS, max(16, (64 * max(1, n)).bit_length()))
+    slot = F.col(name).bitwiseAND((1 << bits) - 1)
+    words = keys.select(F.shiftright(slot, 6).alias("__w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("__b"))
+    words = pin(words.groupBy("__w").agg(F.bit_or("__b").alias("__m")))
+    own = key.bitwiseAND((1 << bits) - 1)
+    marked = rows.withColumn("__slot", own).join(F.broadcast(words), F.shiftright("__slot", 6) == F.col("__w"), "left")
+    bit = F.call_function("getbit", F.coalesce("__m", F.lit(0).cast("long")), F.col("__slot").bitwiseAND(63).cast("int"))
+    some, none = (marked.filter(bit == b).select(*(column(c) for c in rows.columns)) for b in (1, 0))
+    return some, none
+
+
 # ---- connected components -------------------------------------------------------------
 
 
@@ -214,6 +249,8 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         new = pin(small)
-        if new.count() == now.count() and new.exceptAll(now).isEmpty():
+        done = new.count() == now.count() and new.exceptAll(now).isEmpty()
+        free(now, low, large, least)
+        if done:
             return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
         now = new

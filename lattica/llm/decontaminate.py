@@ -4,10 +4,11 @@ The benchmark's windows are sets of words with positions.  Words are ordered by
 counted over all documents; a document that holds a window holds its rarest word, so that
 word is the window's prefix and the documents' words are joined with prefixes alone.  The
 word's place in the window and the document bound where the window can begin, and windows
-that would overrun the document go.  What remains is compared word for word.
+that would overrun the document go.  What remains is compared by a hash where it stands, and what
+agrees then word for word.
 
-Tables made of the benchmark are pinned first: the planner broadcasts them only under
-``spark.sql.autoBroadcastJoinThreshold``, and joins by shuffle beyond.
+Texts and their words take part in no exchange: prefixes are dealt to blocks of ``BLOCK`` rows, each
+small enough to be broadcast, and documents are read once for each block (for one, as a rule).
 
 Null and empty texts have no words and no hits; items without words are never found.  A
 repeated item_id counts once, a null one counts in n_hit only.  Rows that repeat a doc_id
@@ -16,13 +17,20 @@ are judged each by its own text.
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ascii_lower, column, pin, row_key
+from lattica.llm.common import ascii_lower, column, free, may_hold, pin, row_key
 
 #: What parts words, before A-Z are lower-cased.
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A word, before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Prefix rows, or words of the benchmark, that are broadcast at once: some 50 MB.
+BLOCK = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -31,6 +39,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(low, F.lit("")), GAPS), "")
 
 
+def _blocks(small: DataFrame) -> list[DataFrame]:
+    """Parts of a pinned table by a hash of its words, each to be broadcast."""
+    k = max(1, math.ceil(small.count() / BLOCK))
+    return [F.broadcast(small.filter(F.pmod(F.xxhash64("word"), F.lit(k)) == b)) for b in range(k)]
+
+
+def _union(parts) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and rk (the row's key)."""
     doc_id, text = column("doc_id"), column("text")
@@ -44,8 +62,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     # a hash can stand for two windows: each keeps its words, and the last join compares those
     distinct = windows.select("wid", "win").distinct()
     own = distinct.select("wid", "win", F.posexplode("win").alias("at", "word"))
-    vocabulary = pin(own.select("word").distinct())
-    counted = pin(rows.select(F.explode("words").alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n")))
+    said = rows.select(F.explode("words").alias("word"))
+    counted = pin(_union(said.join(b, "word").groupBy("word").agg(F.count("*").alias("n")) for b in _blocks(pin(own.select("word").distinct()))))
     # windows with a word that no document has can't occur
     rarest = (
         own.join(counted, "word", "left")
@@ -54,27 +72,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         .filter("r.n > 0")
     )
     prefixes = pin(rarest.select(F.col("r.word").alias("word"), F.col("r.at").alias("off"), "wid", F.size("win").alias("len")).distinct())
-    met = (
-        rows.select("doc_id", "rk", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-        .join(prefixes, "word")
-        .filter("at >= off and at - off + len <= n")
-        .select(F.coalesce("doc_id", F.lit(-1)).alias("d"), "rk", F.struct((F.col("at") - F.col("off")).alias("start"), "len", "wid").alias("c"))
-    )
-    asked = pin(met.groupBy("d", "rk").agg(F.collect_set("c").alias("cs")))
-    # texts rather than arrays of words go through the exchange: they take half the space
-    keyed = docs.select(doc_id.alias("doc_id"), row_key(doc_id, text).alias("rk"), F.coalesce(doc_id, F.lit(-1)).alias("d"), text.alias("text"))
-    joined = keyed.join(asked, ["d", "rk"], "left").withColumn("words", words_of(F.col("text")))
-    near = F.filter("cs", lambda c: F.xxhash64(F.slice(F.col("words"), c["start"] + 1, c["len"])) == c["wid"])
-    checked = pin(
-        joined.select(
-            "doc_id",
-            "d",
-            "rk",
-            F.size("words").cast("long").alias("n_words"),
-            F.transform(near, lambda c: F.struct(c["start"].alias("start"), c["wid"].alias("wid"), F.slice(F.col("words"), c["start"] + 1, c["len"]).alias("win"))).alias("hits"),
-        )
-    )
-    found = checked.select("d", "rk", F.explode("hits").alias("h")).select("d", "rk", "h.start", "h.wid", "h.win").distinct()
+    # the words stay where they are until the hash has decided: nothing is copied for a word that meets no prefix
+    placed = rows.select("doc_id", "rk", "words", F.posexplode("words").alias("at", "word"))
+    inside = "at >= off and at - off + len <= size(words)"
+    here = F.slice("words", F.col("at") - F.col("off") + 1, F.col("len"))
+    met = _union(placed.join(b, "word").filter(inside).filter(F.xxhash64(here) == F.col("wid")).select(F.coalesce("doc_id", F.lit(-1)).alias("d"), "rk", (F.col("at") - F.col("off")).alias("start"), "wid", here.alias("win")) for b in _blocks(prefixes))
+    found = pin(met.distinct())
     true = pin(found.join(distinct, ["wid", "win"]).select("d", "rk", "start", "wid", F.size("win").alias("len")))
     hit = true.groupBy("d", "rk").agg(F.collect_set(F.struct("start", "len")).alias("spans"))
     hit = hit.select("d", "rk", F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))))).cast("long").alias("n_hit"))
@@ -86,8 +89,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    n_words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    free(counted, prefixes, found)
     return (
-        checked.select("doc_id", "d", "rk", "n_words")
+        docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-1)).alias("d"), row_key(doc_id, text).alias("rk"), n_words.alias("n_words"))
         .join(hit, ["d", "rk"], "left")
         .join(of, ["d", "rk"], "left")
         .select(
@@ -103,11 +108,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of ``docs`` without a hit, with their columns."""
+    """The rows of ``docs`` without a hit, with their columns.  Rows are told apart by doc_id and text."""
+    names = docs.columns
     bad = contamination(docs, benchmark, window).filter("contaminated").select(F.coalesce("doc_id", F.lit(-1)).alias("__d"), F.col("rk").alias("__rk")).distinct()
     bad = pin(bad)
     doc_id, text = column("doc_id"), column("text")
-    return docs.join(bad, (F.coalesce(docs["doc_id"], F.lit(-1)) == bad["__d"]) & (row_key(docs["doc_id"], docs["text"]) == bad["__rk"]), "left_anti")
+    some, none = may_hold(docs, row_key(doc_id, text), bad, "__rk")
+    some = some.join(bad, (F.coalesce(doc_id, F.lit(-1)) == F.col("__d")) & (row_key(doc_id, text) == F.col("__rk")), "left_anti")
+    return none.unionByName(some).select(*(column(c) for c in names))
 
 
 ORACLE = r"""
