@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import compression, decontaminate, mixing, pii, simhash
-from lattica.llm.common import load, pin, row_key
+from lattica.llm.common import free, load, may_hold, pin, row_key
 from lattica.llm.queries import fold
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,12 +35,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = heads.join(repeated, "root").filter("rk <> first.rk or d <> first.d")
     gone = pin(groups.filter("not head").select("d", "rk").unionByName(again.select("d", "rk")).distinct())
     keyed = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(-1)).alias("d"), row_key(docs["doc_id"], docs["text"]).alias("rk"))
-    out = keyed.join(gone, ["d", "rk"], "left_anti")
-    if repeated.isEmpty():
-        return out.select(COLUMNS)
+    # only rows that may be listed meet the lists in a join
     twice = repeated.select("first.d", "first.rk")
-    once = out.join(twice, ["d", "rk"], "left_semi").dropDuplicates(["d", "rk"])
-    return out.join(twice, ["d", "rk"], "left_anti").select(COLUMNS).unionByName(once.select(COLUMNS))
+    listed, out = may_hold(keyed, F.col("rk"), gone.select("rk").unionByName(twice.select("rk")), "rk")
+    kept = listed.join(gone, ["d", "rk"], "left_anti")
+    if not repeated.isEmpty():
+        once = kept.join(twice, ["d", "rk"], "left_semi").dropDuplicates(["d", "rk"])
+        kept = kept.join(twice, ["d", "rk"], "left_anti").unionByName(once)
+    return out.select(COLUMNS).unionByName(kept.select(COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +56,8 @@ def surrogate_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with how many times (copies)."""
-    mixed = mixing.mix_sources(docs).filter("taken > 0").select(F.coalesce("doc_id", F.lit(-1)).alias("d"), "rk", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    mixed = pin(mixed.groupBy("d", "rk").agg(F.max("copies").alias("copies")))
-    keyed = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(-1)).alias("d"), row_key(docs["doc_id"], docs["text"]).alias("rk"))
-    return keyed.join(mixed, ["d", "rk"]).select(*COLUMNS, "copies")
+    """The documents that the mix takes, with how many times (copies); rows wholly the same get as many each."""
+    return mixing.take_mix(docs.select(COLUMNS))
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", surrogate_pii), ("mixing", mix)]
@@ -69,5 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = pin(stage(spark, docs, sf_dir))
+        before, docs = docs, pin(stage(spark, docs, sf_dir))
+        free(before)
     return STAGES[-1][1](spark, docs, sf_dir)
