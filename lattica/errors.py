@@ -27,3 +27,15 @@ class AlreadyExists(GridError):
 
 class NonContiguousTime(GridError):
     """A symbol whose times are no contiguous part of its partition's time axis."""
+
+
+class Format(GridError):
+    """A manifest or data file that can't be read as what it should be."""
+
+
+class Codec(Invalid):
+    """A compression that is not known, or that the data don't bear."""
+
+
+class Io(GridError):
+    """A file system that failed."""

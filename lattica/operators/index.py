@@ -1,7 +1,8 @@
 """Index operations of a grid: DataFrames with part, sym and time.
 
-The axis is numbered over distinct times and the row starts over one row for each symbol, so
-no step numbers all rows in one task; the small tables are joined back.
+The axis is numbered over distinct times and the row starts over one row for each symbol; times, and
+rows of a symbol, are numbered in buckets of time.  So no step numbers all rows of a partition or of
+a symbol in one task; the small tables are joined back.
 """
 
 from __future__ import annotations
@@ -10,13 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.errors import Invalid, KeyMissing
+from lattica.operators import bucketed
 from lattica.operators.ranges import islands
 
 
 def time_axis(df: DataFrame) -> DataFrame:
     """part, time_index (from 0) and time."""
-    w = Window.partitionBy("part").orderBy("time")
-    return df.select("part", "time").distinct().withColumn("time_index", (F.row_number().over(w) - 1).cast("long"))
+    return bucketed.row_number(df.select("part", "time").distinct(), ["part"], ["time"], bucketed.time_bucket(F.col("time")), "time_index")
 
 
 def sym_dictionary(df: DataFrame) -> DataFrame:
@@ -42,16 +43,21 @@ def sym_index(df: DataFrame) -> DataFrame:
 
 def row_numbers(df: DataFrame) -> DataFrame:
     """df with row_no: its place within the partition by sym, then time."""
-    inside = F.row_number().over(Window.partitionBy("part", "sym").orderBy("time")) - 1
-    starts = sym_index(df).select("part", "sym", "row_start")
-    return df.withColumn("__in", inside).join(starts, ["part", "sym"]).withColumn("row_no", (F.col("row_start") + F.col("__in")).cast("long")).drop("__in", "row_start")
+    inside = bucketed.row_number(df, ["part", "sym"], ["time"], bucketed.time_bucket(F.col("time")), "__at")
+    per = df.groupBy("part", "sym").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("part").orderBy("sym").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select("part", "sym", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("row_start"))
+    return inside.join(starts, ["part", "sym"]).withColumn("row_no", (F.col("row_start") + F.col("__at")).cast("long")).drop("__at", "row_start")
 
 
 def violations(df: DataFrame) -> DataFrame:
     """Symbols that break the grid: gaps on the axis, repeated times, or no symbol at all."""
     axis = time_axis(df)
-    ranked = df.select("part", "sym", "time").join(axis, ["part", "time"])
-    per = ranked.groupBy("part", "sym").agg(F.count("*").alias("n_rows"), F.countDistinct("time").alias("n_times"), (F.max("time_index") - F.min("time_index") + 1).alias("span"))
+    times = df.groupBy("part", "sym", "time").agg(F.count("*").alias("c"))
+    per = times.groupBy("part", "sym").agg(F.sum("c").alias("n_rows"), F.count("time").alias("n_times"), F.min("time").alias("t0"), F.max("time").alias("t1"))
+    for t, name in (("t0", "i0"), ("t1", "i1")):
+        per = per.join(axis.withColumnsRenamed({"time": t, "time_index": name}), ["part", t], "left")
+    per = per.select("part", "sym", "n_rows", "n_times", (F.col("i1") - F.col("i0") + 1).alias("span"))
     return per.filter("sym is null or n_rows <> span or n_rows <> n_times")
 
 

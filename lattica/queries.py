@@ -6,6 +6,8 @@ Y: lines, summed by (l_returnflag, day).  L: the distinct keys of Y, which have
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import datetime as dt
 import tempfile
 import uuid
@@ -19,9 +21,11 @@ from lattica.functions.calendar import partition_column
 from lattica.functions.types import cast_column
 from lattica.operators import extensions, index, ranges
 from lattica.plans.predicate import And, Cmp, Not, Or, between, isin, to_column
+from lattica.sources import source
+from lattica.sources.manifest import Files
 from lattica.sources.reader import GridReader
 from lattica.sources.writer import GridWriter
-from lattica.streaming.ingest import bars
+from lattica.streaming.ingest import bars, write_stream
 
 LO, HI = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 12)
 _tables: dict[tuple, str] = {}
@@ -57,9 +61,19 @@ def scratch(spark: SparkSession) -> str:
     """A new folder for a table: in spark.checkpoint.dir, or our own where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="lattica-")
         spark.sparkContext.setCheckpointDir(at)
-    return f"{at}/grid-{uuid.uuid4().hex}"
+    path = f"{at}/grid-{uuid.uuid4().hex}"
+    atexit.register(_removed, spark, path)
+    return path
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session is gone, and the folder is the cluster's to clean
+        Files(spark, path).fs.delete(Files(spark, path).root, True)
 
 
 def table(spark: SparkSession, sf_dir: str, kind: str, scheme: str) -> GridReader:
@@ -72,10 +86,7 @@ def table(spark: SparkSession, sf_dir: str, kind: str, scheme: str) -> GridReade
             # keys of Y have gaps, so each symbol's days are filled before they make a grid
             GridWriter(spark, path).init(extensions.densify(lines(spark, sf_dir)).withColumns({c: F.col(c).cast("double") for c in ("qty", "n")}), scheme)
         elif kind == "T":
-            # ticks of several symbols share no axis: each symbol and time is its own grid cell
-            w = GridWriter(spark, path)
-            w._check_grid = lambda df: None
-            w.init(made(spark, sf_dir), scheme)
+            GridWriter(spark, path).init(made(spark, sf_dir), scheme, rule="ticks")
         else:
             GridWriter(spark, path).init(made(spark, sf_dir), scheme)
         _tables[key] = path
@@ -628,6 +639,159 @@ def ext_bars(spark, sf_dir):
     return bars(ticks(spark, sf_dir), "1 hour", "value")
 
 
+# ---- batches, scans looked at, table function ----
+
+
+def _frame(spark, reader, columns: str) -> DataFrame:
+    return spark.createDataFrame(reader.read_all().to_pandas(), columns)
+
+
+@query(f"WITH {DAILY} SELECT sym, time, n FROM d", dates=("time",))
+def arrow_read_all(spark, sf_dir):
+    with table(spark, sf_dir, "D", "month").batches(columns=["n"]) as r:
+        return _frame(spark, r, "sym string, time date, n long")
+
+
+@query(f"WITH {ROWNO} SELECT CAST(row_no // 7 AS BIGINT) AS batch, count(*) AS rows, min(sym) AS first_sym, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY ALL")
+def arrow_batches(spark, sf_dir):
+    rows = []
+    for k, b in enumerate(table(spark, sf_dir, "D", "month").batches(7, columns=["n"])):
+        rows.append((k, b.num_rows, min(b.column("sym").to_pylist()), sum(b.column("n").to_pylist())))
+    return spark.createDataFrame(rows, "batch long, rows long, first_sym string, n long")
+
+
+@query(f"WITH {DAILY} SELECT sym, time, n FROM d WHERE sym = 'click'", dates=("time",))
+def arrow_round_trip(spark, sf_dir):
+    t = table(spark, sf_dir, "D", "month").to_arrow(symbols="click", columns=["n"])
+    return GridWriter(spark, scratch(spark)).init(t, "month").as_reader().scan()
+
+
+@query(f"WITH {FULL} SELECT count(DISTINCT year(time)) AS partitions, count(*) AS remaining, 'qty' AS projection, 5 AS max_rows, 'year' AS scheme FROM f WHERE year(time) >= 1996")
+def scan_introspection(spark, sf_dir):
+    r = table(spark, sf_dir, "Y", "year").request(start=dt.date(1996, 3, 1), columns=["qty"], limit=5)
+    return spark.createDataFrame([(len(r.partitions), r.remaining, ",".join(r.projection), r.limit, r.table_scheme)], "partitions long, remaining long, projection string, max_rows int, scheme string")
+
+
+@query(f"WITH {FULL} SELECT sym, time, CAST(qty AS DOUBLE) AS qty FROM f ORDER BY year(time), sym, time LIMIT 9", dates=("time",))
+def scan_limit_first_partitions(spark, sf_dir):
+    return table(spark, sf_dir, "Y", "year").scan(columns=["qty"], limit=9)
+
+
+@query(f"WITH {TICKS} SELECT sym, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM t WHERE value > 50 AND time >= TIMESTAMP '2024-01-10' GROUP BY sym")
+def table_function(spark, sf_dir):
+    source.register(spark)
+    at = table(spark, sf_dir, "T", "month").path
+    t = spark.read.format("lattica").option("start", "2024-01-10").load(at)
+    return t.filter("value > 50").groupBy("sym").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
+
+
+# ---- more writes and columns ----
+
+
+@query(f"WITH {DAILY} SELECT sym, time, n, CASE WHEN day(time) < 9 THEN n * 0.5::DOUBLE END AS half FROM d", dates=("time",))
+def init_field_data(spark, sf_dir):
+    half = _patch(spark, sf_dir, "day(time) < 9").select("sym", "time", (F.col("n") * 0.5).alias("half"))
+    return _fresh(spark, sf_dir).init_field("half", "double", half).as_reader().scan(columns=["n", "half"])
+
+
+@query(f"WITH {DAILY} SELECT sym, time, n, CASE WHEN sym < 'p' THEN CAST(0.25 AS DOUBLE) * n END AS hi FROM d", dates=("time",))
+def update_field(spark, sf_dir):
+    new = _patch(spark, sf_dir, "sym < 'p'").select("sym", "time", (F.col("n") * 0.25).alias("hi"))
+    return _fresh(spark, sf_dir).update_field("hi", new).as_reader().scan(columns=["n", "hi"])
+
+
+@query(f"WITH {DAILY} SELECT sym, time, n, CASE WHEN time <> DATE '2024-01-09' THEN users END AS users FROM d", dates=("time",))
+def delete_field_partition(spark, sf_dir):
+    return _fresh(spark, sf_dir, "date").delete_field("users", "date=2024-01-09").as_reader().scan(columns=["n", "users"])
+
+
+@query(f"WITH {DAILY} SELECT sym, time, n FROM d", dates=("time",))
+def decompress_partition(spark, sf_dir):
+    return _fresh(spark, sf_dir, "date").decompress("date=2024-01-09").as_reader().scan(columns=["n"])
+
+
+@query(f"WITH {DAILY} SELECT sym, time, n FROM d", dates=("time",))
+def rename_table(spark, sf_dir):
+    return _fresh(spark, sf_dir).rename(f"renamed-{uuid.uuid4().hex}").as_reader().scan(columns=["n"])
+
+
+@query(f"WITH {DAILY} SELECT sym, time, CAST(n AS SMALLINT) AS small, CAST(users AS BIGINT) AS wide FROM d", dates=("time",))
+def unsigned_types(spark, sf_dir):
+    d = daily(spark, sf_dir).select("sym", "time", F.col("n").cast("smallint").alias("small"), F.col("users").alias("wide"))
+    return GridWriter(spark, scratch(spark)).init(d, "month", kinds={"small": "uint8", "wide": "uint32"}).as_reader().scan()
+
+
+@query(f"WITH {DAILY}, s AS (SELECT sym, time, n, row_number() OVER (PARTITION BY sym, time ORDER BY k DESC) AS r FROM (SELECT sym, time, n, 1 AS k FROM d UNION ALL SELECT sym, time, -n, 2 FROM d WHERE day(time) % 2 = 0)) SELECT sym, time, n FROM s WHERE r = 1", dates=("time",))
+def stream_ingest(spark, sf_dir):
+    """A file stream through foreachBatch; of repeated keys the row of the greatest k stays."""
+    d, at = daily(spark, sf_dir).select("sym", "time", "n"), scratch(spark)
+    both = d.withColumn("k", F.lit(1)).unionByName(d.filter("day(time) % 2 = 0").select("sym", "time", (-F.col("n")).alias("n")).withColumn("k", F.lit(2)))
+    both.coalesce(1).write.parquet(f"{at}/in")
+    w = GridWriter(spark, f"{at}/table")
+    stream = spark.readStream.schema(both.schema).parquet(f"{at}/in")
+    write_stream(stream, w, f"{at}/checkpoint", order="k").trigger(availableNow=True).start().awaitTermination()
+    return w.as_reader().scan()
+
+
+# ---- more of the host's operations ----
+
+
+@query(f"WITH {DAILY} SELECT sym, time, n FROM d WHERE n % 2 = 0 UNION SELECT sym, time, n FROM d WHERE day(time) > 20", dates=("time",))
+def set_union(spark, sf_dir):
+    d = daily(spark, sf_dir).select("sym", "time", "n")
+    return d.filter("n % 2 = 0").union(d.filter("day(time) > 20")).distinct()
+
+
+@query(f"WITH {DAILY} SELECT sym, time, n FROM d WHERE n % 2 = 0 INTERSECT SELECT sym, time, n FROM d WHERE day(time) > 20", dates=("time",))
+def set_intersect(spark, sf_dir):
+    d = daily(spark, sf_dir).select("sym", "time", "n")
+    return d.filter("n % 2 = 0").intersect(d.filter("day(time) > 20"))
+
+
+@query(f"WITH {DAILY} SELECT DISTINCT time, year(time) AS y, month(time) AS m, day(time) AS d, CAST(datediff('day', DATE '1970-01-01', time) AS INTEGER) AS days FROM d", dates=("time",))
+def civil_calendar(spark, sf_dir):
+    t = daily(spark, sf_dir).select("time").distinct()
+    return t.select("time", F.year("time").alias("y"), F.month("time").alias("m"), F.day("time").alias("d"), F.unix_date("time").alias("days"))
+
+
+@query(f"WITH {DAILY}, v AS (SELECT sym, n % 2 AS v, row_number() OVER (PARTITION BY sym ORDER BY time) - 1 AS place FROM d) SELECT sym, place, v AS value FROM v")
+def codec_rle_decode(spark, sf_dir):
+    d = daily(spark, sf_dir).select("sym", "time", (F.col("n") % 2).alias("v"))
+    return codec.runs_decode(codec.runs(d, "v", ["sym"], ["time"]), ["sym"])
+
+
+PLACED = DAILY + ", v AS (SELECT sym, n - 30 AS value, row_number() OVER (PARTITION BY sym ORDER BY time) - 1 AS place FROM d)"
+
+
+def _placed(spark, sf_dir) -> DataFrame:
+    d = daily(spark, sf_dir).select("sym", "time", (F.col("n") - 30).alias("value"))
+    return index.bucketed.row_number(d, ["sym"], ["time"], index.bucketed.time_bucket(F.col("time")), "place").select("sym", "place", "value")
+
+
+@query(f"WITH {PLACED}, z AS (SELECT sym, place // 8 AS block, place, CASE WHEN value < 0 THEN -2 * value - 1 ELSE 2 * value END AS z FROM v), w AS (SELECT sym, block, max(length(bin(z))) AS width FROM z GROUP BY ALL) SELECT sym, CAST(block AS BIGINT) AS block, CAST(any_value(width) AS INTEGER) AS width, count(*) AS length, string_agg(lpad(bin(z), CAST(width AS INTEGER), '0'), '' ORDER BY place) AS bits FROM z JOIN w USING (sym, block) GROUP BY sym, block")
+def codec_bitpack(spark, sf_dir):
+    return codec.pack(_placed(spark, sf_dir), "value", ["sym"], "place", 8)
+
+
+@query(f"WITH {PLACED} SELECT sym, place, value FROM v")
+def codec_bitpack_decode(spark, sf_dir):
+    return codec.unpack(codec.pack(_placed(spark, sf_dir), "value", ["sym"], "place", 8), ["sym"], 8)
+
+
+def _md5_sum(c: str) -> str:
+    return f"CAST(sum(CAST('0x' || substr(md5(coalesce(CAST({c} AS VARCHAR), 'null')), 1, 15) AS HUGEINT)) % 9223372036854775808::HUGEINT AS BIGINT) AS {c}"
+
+
+@query(f"WITH {DAILY} SELECT {_md5_sum('sym')}, {_md5_sum('n')}, {_md5_sum('users')} FROM d")
+def checksum_columns(spark, sf_dir):
+    return codec.checksum(table(spark, sf_dir, "D", "month").scan(), ["sym", "n", "users"])
+
+
+@query(f"WITH {TICKS} SELECT event_id, json_extract_string(props, '$.k') AS k, upper(sym) AS loud, [substr(sym, 1, 1), sym][2] AS second FROM t")
+def string_json_array(spark, sf_dir):
+    return _t(spark, sf_dir, columns=["event_id", "props"]).select("event_id", F.get_json_object("props", "$.k").alias("k"), F.upper("sym").alias("loud"), F.get(F.array(F.substring("sym", 1, 1), F.col("sym")), F.lit(1)).alias("second"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _made.items()}
 

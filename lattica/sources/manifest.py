@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import contextlib
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
-from lattica.errors import AlreadyExists, Invalid, InvalidState, NotFound
+from lattica.errors import AlreadyExists, Format, Invalid, InvalidState, Io, NotFound
 
 
 class Files:
@@ -72,6 +74,8 @@ class Partition:
     sym_max: str | None = None
     time_min: str | None = None
     time_max: str | None = None
+    #: Compression, where it isn't the table's.
+    codec: str | None = None
 
 
 @dataclass(frozen=True)
@@ -118,7 +122,16 @@ class Store:
         found = self.versions()
         if not found:
             raise NotFound(f"no table at {self.path}")
-        d = json.loads(self.files.read(self.files.path(self.grid, found[-1])))
+        try:
+            text = self.files.read(self.files.path(self.grid, found[-1]))
+        except Py4JJavaError as e:
+            raise Io(str(e.java_exception)) from None
+        try:
+            d = json.loads(text)
+        except ValueError as e:
+            raise Format(f"{found[-1]} of {self.path}: {e}") from None
+        if not isinstance(d, dict) or not {"scheme", "time_kind", "fields", "partitions"} <= set(d):
+            raise Format(f"{found[-1]} of {self.path} is no manifest")
         return Manifest(**d | {"fields": tuple(Field(**f) for f in d["fields"]), "partitions": tuple(Partition(**p) for p in d["partitions"])})
 
     def commit(self, m: Manifest) -> Manifest:
@@ -163,11 +176,17 @@ class Store:
         self.files.fs.rename(self.files.root, to)
         return to.toString()
 
-    def vacuum(self) -> list[str]:
-        """Removes data folders that the present version does not list."""
+    def vacuum(self, age_s: float = 7 * 86_400) -> list[str]:
+        """Removes data folders that the present version does not list and that are older than ``age_s`` seconds.
+
+        Readers of older versions, and writers that have not committed, use younger ones.
+        """
         used = {p.folder.split("/")[1] for p in self.load().partitions}
         data = self.files.path(self.files.root, "data")
-        gone = [n for n in self.files.names(data) if n not in used]
+        if not self.files.fs.exists(data):
+            return []
+        oldest = time.time() * 1000 - age_s * 1000
+        gone = [x.getPath().getName() for x in self.files.fs.listStatus(data) if x.getModificationTime() <= oldest and x.getPath().getName() not in used]
         for n in gone:
             self.files.fs.delete(self.files.path(data, n), True)
         return gone

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.errors import Invalid, NotFound
+from lattica.errors import Invalid, InvalidState, NotFound
 from lattica.functions.calendar import partition_column, partition_range
 from lattica.functions.types import spark_type
 from lattica.operators import index
@@ -28,15 +29,138 @@ def parse(kind: str) -> T.DataType:
     return T.StructType.fromDDL(f"x {spark_type(kind)}").fields[0].dataType
 
 
-def open_table(spark: SparkSession, path: str) -> GridReader:
-    return GridReader(spark, path)
+def open_table(spark: SparkSession, path: str, mode: str = "r", max_parallelism: int | None = None):
+    """A reader (mode "r") or a writer ("w") of a table.  A reader doesn't change its table."""
+    if mode == "r":
+        return GridReader(spark, path, max_parallelism)
+    if mode != "w":
+        raise Invalid(f"unknown mode {mode!r}")
+    from lattica.sources.writer import GridWriter
+
+    w = GridWriter(spark, path)
+    w.store.load()
+    return w
+
+
+def _to_ipc():
+    """Made within, so that workers get it by value and need no package."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["ipc"])
+
+    return run
+
+
+class BatchReader:
+    """Arrow batches in table order, one Spark partition of a table's partition at a time.
+
+    batch_size: that many rows in each batch but the last; None: batches as they come, and none reaches
+    over two partitions of the table.  Iterates, or gives ``next()`` (None at the end), the rest by
+    ``read_all()``, and nothing after ``close()``.
+    """
+
+    def __init__(self, reader: GridReader, batch_size: int | None, request: dict):
+        if batch_size is not None and batch_size <= 0:
+            raise Invalid("batch size must be positive")
+        self.batch_size, self.closed = batch_size, False
+        self.schema = reader.scan(**request | {"limit": 0}).toArrow().schema
+        self._source = self._sized(self._pieces(reader, dict(request)))
+
+    def _pieces(self, reader: GridReader, request: dict) -> Iterator[pa.RecordBatch]:
+        left = request.pop("limit", None)
+        chosen = reader.plan(request.get("start"), request.get("end"), request.get("predicate"), request.get("partitions"), request.get("symbols"))
+        for p in chosen:
+            if left is not None and left <= 0:
+                return
+            df = reader.ordered(**request | {"partitions": [p], "limit": left})
+            for row in df.mapInArrow(_to_ipc(), "ipc binary").toLocalIterator():
+                with pa.ipc.open_stream(pa.py_buffer(row["ipc"])) as source:
+                    for batch in source:
+                        if batch.num_rows:
+                            left = None if left is None else left - batch.num_rows
+                            yield batch.cast(self.schema)
+
+    def _sized(self, pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if self.batch_size is None:
+            yield from pieces
+            return
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for piece in pieces:
+            while piece.num_rows:
+                part = piece.slice(0, self.batch_size - rows)
+                piece = piece.slice(part.num_rows)
+                held.append(part)
+                rows += part.num_rows
+                if rows == self.batch_size:
+                    yield pa.concat_batches(held)
+                    held, rows = [], 0
+        if rows:
+            yield pa.concat_batches(held)
+
+    def __iter__(self) -> BatchReader:
+        return self
+
+    def __next__(self) -> pa.RecordBatch:
+        if self.closed:
+            raise InvalidState("the reader is closed")
+        return next(self._source)
+
+    def next(self) -> pa.RecordBatch | None:
+        return next(self, None)
+
+    def read_all(self) -> pa.Table:
+        """What is left, as one table."""
+        return pa.Table.from_batches(list(self), self.schema)
+
+    def close(self) -> None:
+        self.closed = True
+        self._source.close()
+
+    def __enter__(self) -> BatchReader:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+class Scan:
+    """A request of a table, and what it will read: properties, then ``frame()``, ``ranges()`` or ``into_reader()``."""
+
+    def __init__(self, reader: GridReader, request: dict):
+        self._reader, self._request = reader, request
+        self.projection = reader._columns(request.get("columns"))
+        self.predicate, self.limit = request.get("predicate"), request.get("limit")
+        self.table_root, self.table_scheme, self.max_parallelism = reader.path, reader.scheme, reader.max_parallelism
+        self.partitions = reader.plan(request.get("start"), request.get("end"), self.predicate, request.get("partitions"), request.get("symbols"))
+        rows = reader.manifest().named()
+        #: Rows of the partitions that will be opened: no fewer than the scan gives.
+        self.remaining = sum(rows[p].rows for p in self.partitions)
+
+    def frame(self) -> DataFrame:
+        return self._reader.scan(**self._request)
+
+    def ranges(self) -> DataFrame:
+        return self._reader.scan_ranges(**self._request)
+
+    def into_reader(self, batch_size: int | None = None) -> BatchReader:
+        return BatchReader(self._reader, batch_size, self._request)
 
 
 class GridReader:
-    """A table opened for reading. Each call sees the newest version."""
+    """A table opened for reading. Each call sees the newest version.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.store = spark, Store(spark, path)
+    max_parallelism: tasks that a scan is cut into at most; None leaves that to Spark.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, max_parallelism: int | None = None):
+        if max_parallelism is not None and max_parallelism <= 0:
+            raise Invalid("max_parallelism must be positive")
+        self.spark, self.store, self.max_parallelism = spark, Store(spark, path), max_parallelism
         self.manifest()
 
     def manifest(self) -> Manifest:
@@ -57,8 +181,8 @@ class GridReader:
 
     # ---- scans ----
 
-    def plan(self, start=None, end=None, predicate: Predicate | None = None, partitions: list[str] | None = None) -> list[str]:
-        """Names of the partitions that a scan opens, in order."""
+    def plan(self, start=None, end=None, predicate: Predicate | None = None, partitions: list[str] | None = None, symbols=None) -> list[str]:
+        """Names of the partitions that a scan opens, in order: by time, and by their least and greatest symbol."""
         m = self.manifest()
         names = list(m.named())
         if partitions is not None:
@@ -66,7 +190,13 @@ class GridReader:
             if gone:
                 raise NotFound(f"no partition {sorted(gone)[0]!r}")
             names = partitions
-        return prune(names, *bounds(start, end, predicate))
+        names = prune(names, *bounds(start, end, predicate))
+        if symbols is None:
+            return names
+        wanted = [symbols] if isinstance(symbols, str) else list(symbols)
+        # Spark, which took the bounds, orders text by its bytes
+        known = lambda p, s: p.sym_min is None or p.sym_min.encode() <= s.encode() <= p.sym_max.encode()
+        return [n for n in names if any(known(m.named()[n], s) for s in wanted)]
 
     def _columns(self, columns: list[str] | None) -> list[str]:
         known = self.schema()
@@ -83,10 +213,16 @@ class GridReader:
     def scan(self, symbols=None, start=None, end=None, predicate: Predicate | None = None, columns: list[str] | None = None, limit: int | None = None, partitions: list[str] | None = None, with_partition: bool = False) -> DataFrame:
         """sym, time and the columns asked for, of rows with start <= time < end.
 
-        Lazy. A limit takes the first rows by partition, sym and time.
+        Lazy. A limit takes the first rows by partition, sym and time; where nothing else selects rows, it
+        opens only the first partitions that hold so many.
         """
         m = self.manifest()
-        chosen = self.plan(start, end, predicate, partitions)
+        chosen = self.plan(start, end, predicate, partitions, symbols)
+        if limit is not None and limit < 0:
+            raise Invalid("limit is negative")
+        if limit is not None and start is None and end is None and predicate is None and symbols is None:
+            rows = list(itertools.accumulate((m.named()[p].rows for p in chosen), initial=0))
+            chosen = chosen[: next((i for i, n in enumerate(rows) if n >= limit), len(chosen))]
         types = m.types()
         shape = T.StructType([T.StructField("sym", T.StringType()), T.StructField("time", parse(m.time_kind)), *(T.StructField(f.physical, parse(f.kind)) for f in m.fields)])
         folders = [f"{self.path}/{m.named()[p].folder}" for p in chosen if m.named()[p].rows]
@@ -106,14 +242,18 @@ class GridReader:
             df = df.filter(to_column(predicate, types))
         part = partition_column(m.scheme, F.col("time"))
         if limit is not None:
-            if limit < 0:
-                raise Invalid("limit is negative")
             df = df.orderBy(part, "sym", "time").limit(limit)
+        elif self.max_parallelism is not None:
+            df = df.coalesce(self.max_parallelism)
         extra = [part.alias("part")] if with_partition else []
         return df.select(*extra, "sym", "time", *(quoted(c) for c in wanted))
 
     read = scan
 
+    def request(self, **request) -> Scan:
+        """The same, to be looked at before it is read."""
+        return Scan(self, request)
+
     def ordered(self, **request) -> DataFrame:
         """A scan in table order."""
         df = self.scan(**request)
@@ -126,7 +266,7 @@ class GridReader:
 
     def scan_ranges(self, **request) -> DataFrame:
         """(part, offset, length) of the rows that a request selects, numbered over their whole partitions."""
-        chosen = self.plan(request.get("start"), request.get("end"), request.get("predicate"))
+        chosen = self.plan(request.get("start"), request.get("end"), request.get("predicate"), request.get("partitions"), request.get("symbols"))
         whole = self.scan(columns=[], partitions=chosen, with_partition=True)
         picked = self.scan(**request | {"columns": []})
         return index.islands(index.row_numbers(whole).join(picked, ["sym", "time"], "left_semi"))
@@ -140,27 +280,11 @@ class GridReader:
     def to_arrow(self, **request) -> pa.Table:
         return self.ordered(**request).toArrow()
 
-    def batches(self, batch_size: int | None = None, **request) -> Iterator[pa.RecordBatch]:
-        """Arrow batches in table order: exactly batch_size rows in each but the last, or one partition in each."""
-        if batch_size is not None and batch_size <= 0:
-            raise Invalid("batch size must be positive")
-        chosen = self.plan(request.get("start"), request.get("end"), request.get("predicate"))
-        left, held = request.pop("limit", None), None
-        for p in chosen:  # one partition at a time, so memory holds no more
-            if left is not None and left <= 0:
-                break
-            t = self.ordered(**request | {"partitions": [p], "limit": left}).toArrow()
-            left = None if left is None else left - t.num_rows
-            if batch_size is None:
-                if t.num_rows:
-                    yield t.combine_chunks().to_batches()[0]
-                continue
-            held = t if held is None else pa.concat_tables([held, t])
-            while held.num_rows >= batch_size:
-                yield held.slice(0, batch_size).combine_chunks().to_batches()[0]
-                held = held.slice(batch_size)
-        if held is not None and held.num_rows:
-            yield held.combine_chunks().to_batches()[0]
+    def batches(self, batch_size: int | None = None, **request) -> BatchReader:
+        """Arrow batches in table order, read as they are asked for."""
+        return BatchReader(self, batch_size, request)
+
+    read_batches = batches
 
     def register(self, view: str) -> DataFrame:
         """A temporary SQL view of the whole table."""
@@ -194,5 +318,10 @@ class GridReader:
     def field_is_compressed(self) -> bool:
         return self.manifest().codec != "none"
 
+    def meta(self) -> dict:
+        """Version of the table, kind of its time, and counts; no job."""
+        m, s = self.manifest(), self.statistics()
+        return {"version": m.version, "time_type": m.time_kind, "scheme": m.scheme, "codec": m.codec, "rule": m.properties.get("rule", "grid"), "field_count": len(m.fields), "partition_count": s["partition_count"], "row_count": s["row_count"]}
+
     def close(self) -> None:
         """Nothing is held open."""

@@ -1,20 +1,26 @@
 """Writing grid tables: create, keyed overwrite, partition replacement, and changes of columns.
 
-Everything is checked before anything is written, new data goes to folders of its own, and
-one manifest commit makes it visible.
+New data goes to folders of its own, and one manifest commit makes it visible.  The input is
+evaluated once: what can be told row by row is counted while it is written, and keys, statistics
+and the grid's rule are read from what was written, columns sym and time alone.  If a check
+fails, the new folder is removed and nothing has changed.
+
+A table's ``rule`` is "grid" (each symbol's times are a contiguous part of its partition's axis, each
+once) or "ticks" (any times).
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import replace
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.errors import AlreadyExists, Invalid, InvalidState, KeyMissing, NonContiguousTime, NotFound
+from lattica.errors import AlreadyExists, Codec, GridError, Invalid, InvalidState, KeyMissing, NonContiguousTime, NotFound
 from lattica.functions.calendar import fits, parse_scheme, partition_column
 from lattica.functions.types import cast_column, in_range, logical_type, parse_type, spark_type
 from lattica.operators import index
@@ -27,7 +33,7 @@ CODECS = {"zstd": "zstd", "lz4": "lz4_raw", "snappy": "snappy", "none": "none",
 def parse_codec(name: str | None) -> str:
     key = (name or "zstd").strip().lower()
     if key not in CODECS:
-        raise Invalid(f"unknown compression {name!r}")
+        raise Codec(f"unknown compression {name!r}")
     return "none" if key == "plain" else key
 
 
@@ -37,9 +43,11 @@ def check_field(name: str) -> None:
 
 
 def as_frame(spark: SparkSession, data) -> DataFrame:
-    """Takes a DataFrame, an Arrow table or batch, or a pandas frame."""
+    """Takes a DataFrame, an Arrow table, batch, or stream of batches, or a pandas frame."""
     if isinstance(data, DataFrame):
         return data
+    if isinstance(data, Iterator):
+        data = pa.Table.from_batches(list(data))
     if isinstance(data, pa.RecordBatch):
         data = pa.Table.from_batches([data])
     if isinstance(data, pa.Table):
@@ -90,38 +98,57 @@ class GridWriter:
                 check_field(n)
         return df.withColumn("sym", F.col("sym").cast("string")), types
 
-    def _check_grid(self, df: DataFrame) -> None:
-        """df: part, sym, time. No null keys, and each symbol a contiguous part of its axis."""
-        if df.filter("sym is null or time is null").take(1):
-            raise Invalid("sym and time must not be null")
-        bad = index.violations(df).take(1)
-        if bad:
-            raise NonContiguousTime(f"symbol {bad[0]['sym']!r} in {bad[0]['part']!r}")
-
-    def _check_kinds(self, df: DataFrame, fields: tuple[Field, ...]) -> None:
-        bounded = [f for f in fields if f.kind.startswith("uint") and f.name in df.columns]
-        if bounded and df.filter(~_all(in_range(quoted(f.name), f.kind) for f in bounded)).take(1):
-            raise Invalid("a value is out of its unsigned type's range")
-
-    def _write(self, df: DataFrame, m: Manifest) -> dict[str, Partition]:
-        """Writes df (part, sym, time, fields by logical name) to new folders; the partitions as written."""
-        folder = f"data/{uuid.uuid4().hex}"
-        out = df.select("part", "sym", "time", *(quoted(f.name).cast(spark_type(f.kind)).alias(f.physical) for f in m.fields if f.name in df.columns))
-        # ranges rather than a hash: a large partition is cut by symbols, so it is never one task's
-        laid = out.repartitionByRange("part", "sym").sortWithinPartitions("part", "sym", "time")
+    def _bad_kinds(self, df: DataFrame, fields: tuple[Field, ...]) -> Column:
+        """Whether a value is out of its unsigned type's range."""
+        return ~_all(in_range(quoted(f.name), f.kind) for f in fields if f.kind.startswith("uint") and f.name in df.columns)
+
+    def _remove(self, folder: str) -> None:
+        self.store.files.fs.delete(self.store.files.path(f"{self.path}/{folder}"), True)
+
+    def _write(self, df: DataFrame, m: Manifest, checks: dict[str, tuple[Column, GridError]] | None = None) -> dict[str, Partition]:
+        """Writes df (part, sym, time, fields by logical name) to new folders; the partitions as written.
+
+        checks: conditions that no row may meet, and what to raise if one does.  A table of partitions with
+        a codec of their own keeps them.
+        """
+        checks = {"null": (F.col("sym").isNull() | F.col("time").isNull(), Invalid("sym and time must not be null")), **(checks or {})}
+        if any(f.kind.startswith("uint") and f.name in df.columns for f in m.fields):
+            checks["kind"] = (self._bad_kinds(df, m.fields), Invalid("a value is out of its unsigned type's range"))
+        folder, seen = f"data/{uuid.uuid4().hex}", Observation()
+        counted = df.observe(seen, *(F.sum(F.coalesce(c, F.lit(False)).cast("int")).alias(k) for k, (c, _) in checks.items()))
+        out = counted.select("part", "sym", "time", *(quoted(f.name).cast(spark_type(f.kind)).alias(f.physical) for f in m.fields if f.name in df.columns))
+        # ranges rather than a hash: a large partition is cut by symbols and times, so it is never one task's
+        laid = out.repartitionByRange("part", "sym", "time").sortWithinPartitions("part", "sym", "time")
         at = f"{self.path}/{folder}"
-        laid.withColumn("__part", F.regexp_replace("part", "=", "-")).drop("part").write.partitionBy("__part").option("compression", CODECS[m.codec]).parquet(at)
-        stats = (
-            self.spark.read.parquet(at)
-            .groupBy(F.col("__part").cast("string").alias("p"))
-            .agg(F.count("*").alias("rows"), F.countDistinct("sym").alias("syms"), F.countDistinct("time").alias("times"), F.min("sym").alias("s0"), F.max("sym").alias("s1"), F.min("time").cast("string").alias("t0"), F.max("time").cast("string").alias("t1"))
-            .collect()  # one row for each partition
+        try:
+            laid.withColumn("__part", F.regexp_replace("part", "=", "-")).drop("part").write.partitionBy("__part").option("compression", CODECS[m.codec]).parquet(at)
+            for k, (_, error) in checks.items():
+                if seen.get[k]:
+                    raise error
+            return self._seen(folder, m)
+        except BaseException:
+            self._remove(folder)
+            raise
+
+    def _seen(self, folder: str, m: Manifest) -> dict[str, Partition]:
+        """The partitions of a folder with their statistics; raises where the grid's rule is broken."""
+        shape = f"sym string, time {spark_type(m.time_kind)}, __part string"
+        keys = self.spark.read.schema(shape).parquet(f"{self.path}/{folder}").withColumnRenamed("__part", "p").withColumn("p", F.coalesce("p", F.lit("")))
+        grid = m.properties.get("rule", "grid") == "grid"
+        stats = keys.groupBy("p").agg(
+            F.count("*").alias("rows"), F.countDistinct("sym").alias("syms"), F.countDistinct("time").alias("times"), F.countDistinct("sym", "time").alias("keys"), F.min("sym").alias("s0"), F.max("sym").alias("s1"), F.min("time").cast("string").alias("t0"), F.max("time").cast("string").alias("t1")
         )
-        out = {}
-        for r in stats:
+        out, ragged = {}, []
+        for r in stats.collect():  # one row for each partition
             name = "" if m.scheme == "none" else r["p"].replace("-", "=", 1)
             leaf = "__HIVE_DEFAULT_PARTITION__" if m.scheme == "none" else r["p"]
             out[name] = Partition(name, f"{folder}/__part={leaf}", r["rows"], r["syms"], r["times"], r["s0"], r["s1"], r["t0"], r["t1"])
+            if grid and not r["rows"] == r["keys"] == r["syms"] * r["times"]:  # not each symbol at each time, so it takes a closer look
+                ragged.append(r["p"])
+        if ragged:
+            bad = index.violations(keys.filter(F.col("p").isin(ragged)).withColumnRenamed("p", "part")).take(1)
+            if bad:
+                raise NonContiguousTime(f"symbol {bad[0]['sym']!r} in {bad[0]['part']!r}")
         return out
 
     def _parted(self, df: DataFrame, m: Manifest) -> DataFrame:
@@ -140,18 +167,20 @@ class GridWriter:
             self.store.commit(Manifest(parse_scheme(scheme), parse_type(time), tuple(Field(n, k, n) for n, k in sorted(kinds.items())), codec=parse_codec(compression)))
         return self
 
-    def init(self, data, scheme: str = "none", compression: str | None = None, kinds: dict[str, str] | None = None) -> GridWriter:
-        """A new table with data. kinds: logical types of columns that Spark's don't tell (unsigned)."""
+    def init(self, data, scheme: str = "none", compression: str | None = None, kinds: dict[str, str] | None = None, rule: str = "grid") -> GridWriter:
+        """A new table with data. kinds: logical types of columns that Spark's don't tell (unsigned, date64).
+
+        rule "ticks" (an extension): symbols need not share an axis of times.
+        """
+        if rule not in ("grid", "ticks"):
+            raise Invalid(f"unknown rule {rule!r}")
         df, types = self._input(data)
         types |= {n: parse_type(k) for n, k in (kinds or {}).items()}
-        m = Manifest(parse_scheme(scheme), types["time"], tuple(Field(n, types[n], n) for n in sorted(types) if n not in ("sym", "time")), codec=parse_codec(compression))
+        m = Manifest(parse_scheme(scheme), types["time"], tuple(Field(n, types[n], n) for n in sorted(types) if n not in ("sym", "time")), codec=parse_codec(compression), properties={"rule": rule})
         with self.store.lock():
             if self.store.exists():
                 raise AlreadyExists(f"{self.path} exists")
-            parted = self._parted(df, m)
-            self._check_grid(parted.select("part", "sym", "time"))
-            self._check_kinds(df, m.fields)
-            self.store.commit(m.with_partitions(self._write(parted, m)))
+            self.store.commit(m.with_partitions(self._write(self._parted(df, m), m)))
         return self
 
     def drop(self) -> None:
@@ -185,35 +214,39 @@ class GridWriter:
         """
         df, types = self._input(data)
         with self.store.lock():
-            m = self._new_fields(self.store.load(), types)
-            self._check_kinds(df, m.fields)
-            patch = self._parted(df, m)
-            if patch.filter("sym is null or time is null").take(1):
+            self._patch(self.store.load(), df, types, strict)
+        return self
+
+    def _patch(self, m: Manifest, df: DataFrame, types: dict[str, str], strict: bool) -> None:
+        """What ``write`` does, under the lock."""
+        m = self._new_fields(m, types)
+        given = [n for n in types if n not in ("sym", "time")]
+        staged = f"data/{uuid.uuid4().hex}"
+        try:
+            # the input is evaluated here, once
+            self._parted(df, m).write.parquet(f"{self.path}/{staged}")
+            patch = self.spark.read.schema(self._parted(df, m).schema).parquet(f"{self.path}/{staged}")
+            found = patch.groupBy("part", "sym", "time").agg(F.count("*").alias("c")).groupBy("part").agg(F.max("c").alias("most"), F.sum((F.col("sym").isNull() | F.col("time").isNull()).cast("int")).alias("nulls")).collect()
+            if any(r["nulls"] for r in found):
                 raise Invalid("sym and time must not be null")
-            if patch.groupBy("sym", "time").count().filter("count > 1").take(1):
+            if any(r["most"] > 1 for r in found):
                 raise Invalid("keys repeat")
-            touched = sorted(r["part"] for r in patch.select("part").distinct().collect())
             have = m.named()
-            old = [p for p in touched if p in have and have[p].rows]
+            old = sorted(r["part"] for r in found if r["part"] in have and have[r["part"]].rows)
             base = self._base(m, old)
-            names = [f.name for f in m.fields]
-            given = [n for n in types if n not in ("sym", "time")]
-            mine = patch.filter(F.col("part").isin(old)) if old else patch.limit(0)
-            lost = index.missing(base, mine.select("part", "sym", "time"))
-            if strict:
-                gone = lost.take(1)
-                if gone:
-                    raise KeyMissing(f"no row {gone[0]['sym']!r} at {gone[0]['time']}")
-            right = mine.select("sym", "time", F.lit(True).alias("__hit"), *(quoted(n).alias(f"__new_{n}") for n in given))
-            cells = [(F.when(F.col("__hit"), quoted(f"__new_{n}")).otherwise(quoted(n)) if n in given else quoted(n)).alias(n) for n in names]
-            merged = base.join(right, ["sym", "time"], "left").select("part", "sym", "time", *cells)
-            fresh = patch.filter(~F.col("part").isin(old)) if old else patch
-            if not strict:
-                fresh = fresh.unionByName(patch.join(lost, ["part", "sym", "time"], "left_semi"))
-            whole = merged.unionByName(fresh.select("part", "sym", "time", *(quoted(n) for n in given)), allowMissingColumns=True)
-            self._check_grid(whole.select("part", "sym", "time"))
-            self.store.commit(m.with_partitions(have | self._write(whole, m)))
-        return self
+            right = patch.select("sym", "time", F.lit(True).alias("__hit"), *(quoted(n).alias(f"__new_{n}") for n in given))
+            cells = [(F.when(F.col("__hit"), quoted(f"__new_{f.name}")).otherwise(quoted(f.name)) if f.name in given else quoted(f.name)).alias(f.name) for f in m.fields]
+            whole = base.drop("part").withColumn("__had", F.lit(True)).join(right, ["sym", "time"], "full")
+            whole = self._parted(whole.select("sym", "time", "__had", *cells), m)
+            gone = F.col("__had").isNull() & F.col("part").isin(old)
+            try:
+                new = self._write(whole, m, {"lost": (gone, KeyMissing("a row that is not there"))} if strict and old else None)
+            except KeyMissing:
+                lost = index.missing(base, patch.filter(F.col("part").isin(old)).select("part", "sym", "time")).first()
+                raise KeyMissing(f"no row {lost['sym']!r} at {lost['time']}") from None
+            self.store.commit(m.with_partitions(have | new))
+        finally:
+            self._remove(staged)
 
     def _base(self, m: Manifest, names: list[str]) -> DataFrame:
         """Rows of the named partitions, with the columns of m (which may be newer than the files)."""
@@ -234,25 +267,37 @@ class GridWriter:
             if m.scheme == "none":
                 m = replace(m, fields=(), partitions=())
             m = self._new_fields(m, types)
-            self._check_kinds(df, m.fields)
-            parted = self._parted(df, m)
-            self._check_grid(parted.select("part", "sym", "time"))
-            self.store.commit(m.with_partitions(m.named() | self._write(parted, m)))
+            self.store.commit(m.with_partitions(m.named() | self._write(self._parted(df, m), m)))
         return self
 
-    def create_partition(self, name: str, data) -> GridWriter:
-        df, types = self._input(data)
+    def create_partition(self, name: str, data=None) -> GridWriter:
+        """A new partition with data, or an empty one."""
+        df, types = self._input(data) if data is not None else (None, {})
         with self.store.lock():
-            m = self._new_fields(self.store.load(), types)
+            m = self.store.load()
+            m = m if df is None else self._new_fields(m, types)
             if not fits(m.scheme, name):
                 raise Invalid(f"{name!r} does not fit scheme {m.scheme}")
             if name in m.named():
                 raise AlreadyExists(f"partition {name!r} exists")
-            parted = self._parted(df, m)
-            if parted.filter(F.col("part") != name).take(1):
-                raise Invalid(f"a row does not belong to {name!r}")
-            self._check_grid(parted.select("part", "sym", "time"))
-            self.store.commit(m.with_partitions(m.named() | self._write(parted, m)))
+            new = {name: Partition(name, f"data/{uuid.uuid4().hex}")}
+            if df is not None:
+                new |= self._write(self._parted(df, m), m, {"outside": (F.col("part") != name, Invalid(f"a row does not belong to {name!r}"))})
+            self.store.commit(m.with_partitions(m.named() | new))
+        return self
+
+    def rename_partition(self, old: str, new: str) -> GridWriter:
+        """Renames an empty partition. One with rows has the name of their times."""
+        with self.store.lock():
+            m = self.store.load()
+            have = m.named()
+            if old not in have:
+                raise NotFound(f"no partition {old!r}")
+            if new in have:
+                raise AlreadyExists(f"partition {new!r} exists")
+            if not fits(m.scheme, new) or have[old].rows:
+                raise Invalid(f"the rows of {old!r} do not fit {new!r}")
+            self.store.commit(m.with_partitions({k: v for k, v in have.items() if k != old} | {new: replace(have[old], name=new)}))
         return self
 
     def delete_partition(self, name: str) -> GridWriter:
@@ -265,14 +310,24 @@ class GridWriter:
             self.store.commit(m.with_partitions({k: v for k, v in m.named().items() if k != name}))
         return self
 
+    drop_partition = delete_partition
+
     def write_rows(self, part: str, offset: int, data) -> GridWriter:
         """Overwrites fields by position: the input's n rows, by its column row_no from 0, at offset."""
-        df = as_frame(self.spark, data)
-        rows = index.row_numbers(self._base(self.store.load(), [part])).select("sym", "time", "row_no")
-        placed = df.withColumn("row_no", F.col("row_no") + offset)
-        if index_missing := placed.join(rows, "row_no", "left_anti").take(1):
-            raise Invalid(f"row {index_missing[0]['row_no']} is outside {part!r}")
-        return self.write(placed.join(rows, "row_no").drop("row_no"))
+        placed = as_frame(self.spark, data).withColumn("row_no", F.col("row_no") + offset)
+        with self.store.lock():  # rows are numbered as they are when they are written
+            m = self.store.load()
+            if part not in m.named():
+                raise NotFound(f"no partition {part!r}")
+            rows = index.row_numbers(self._base(m, [part])).select("sym", "time", "row_no")
+            if index_missing := placed.join(rows, "row_no", "left_anti").take(1):
+                raise Invalid(f"row {index_missing[0]['row_no']} is outside {part!r}")
+            self._patch(m, *self._input(placed.join(rows, "row_no").drop("row_no")), True)
+        return self
+
+    def max_parallelism(self) -> int:
+        """Tasks of a write's exchanges."""
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def sink(self, data, mode: str = "auto", scheme: str = "none", compression: str | None = None) -> GridWriter:
         """auto: init if there is no table, else write, and update where keys are missing.
@@ -305,9 +360,15 @@ class GridWriter:
             self.store.commit(change(self.store.load()))
         return self
 
-    def init_field(self, name: str, kind: str) -> GridWriter:
-        """A new column, null everywhere. No data is rewritten."""
+    def init_field(self, name: str, kind: str, data=None) -> GridWriter:
+        """A new column, null everywhere; no data is rewritten. With data (sym, time and the column, as a
+        frame, table or stream of Arrow batches), its values, and null in rows that the data leave out."""
         check_field(name)
+        if data is not None:
+            if name in self.store.load().types():
+                raise AlreadyExists(f"column {name!r} exists")
+            df = as_frame(self.spark, data)
+            return self.write(df.select("sym", "time", quoted(name).cast(spark_type(kind)).alias(name)))
 
         def change(m: Manifest) -> Manifest:
             if name in m.types():
@@ -317,10 +378,29 @@ class GridWriter:
 
         return self._edit(change)
 
-    def delete_field(self, name: str) -> GridWriter:
-        """Drops a column; files keep its values until their partition is rewritten."""
+    def update_field(self, name: str, data) -> GridWriter:
+        """Replaces a whole column: the data's values (sym, time and the column), null in all other rows."""
+        df = as_frame(self.spark, data)
+
+        def change(m: Manifest) -> Manifest:
+            f = m.field(name)
+            new, seen = df.select("sym", "time", quoted(name).cast(spark_type(f.kind)).alias("__new"), F.lit(True).alias("__hit")), F.lit(True).alias("__had")
+            base = self._base(m, [p.name for p in m.partitions if p.rows]).drop("part", name)
+            whole = base.select("*", seen).join(new, ["sym", "time"], "full").withColumnRenamed("__new", name)
+            lost = {"lost": (F.col("__had").isNull(), KeyMissing(f"a value of {name!r} has no row"))}
+            return m.with_partitions(m.named() | self._write(self._parted(whole, m), m, lost))
+
+        return self._edit(change)
+
+    def delete_field(self, name: str, partition: str | None = None) -> GridWriter:
+        """Drops a column; files keep its values until their partition is rewritten.
+
+        In one partition: rewrites it, and the column is null there.
+        """
         if name in ("sym", "time"):
             raise Invalid(f"{name} can't be deleted")
+        if partition is not None:
+            return self._rewrite(partition, lambda m, df: df.withColumn(name, F.lit(None).cast(spark_type(m.field(name).kind))))
 
         def change(m: Manifest) -> Manifest:
             gone = m.field(name)
@@ -354,29 +434,50 @@ class GridWriter:
 
         return self._edit(change)
 
-    def _recode(self, codec: str) -> GridWriter:
+    def _rewrite(self, partition: str, change, codec: str | None = None) -> GridWriter:
+        """Writes one partition anew."""
+
+        def edit(m: Manifest) -> Manifest:
+            if partition not in m.named():
+                raise NotFound(f"no partition {partition!r}")
+            own = codec or m.named()[partition].codec
+            if codec is not None:
+                self._check_codec(m.named()[partition].codec or m.codec, codec)
+            made = self._write(change(m, self._base(m, [partition])), replace(m, codec=own or m.codec)) if m.named()[partition].rows else m.named()
+            return m.with_partitions(m.named() | {partition: replace(made[partition], codec=own)})
+
+        return self._edit(edit)
+
+    def _check_codec(self, now: str, codec: str) -> None:
+        if now == codec or (codec != "none" and now != "none"):
+            raise InvalidState("the table is in that state already")
+
+    def _recode(self, codec: str, partition: str | None) -> GridWriter:
+        if partition is not None:
+            return self._rewrite(partition, lambda m, df: df, codec)
+
         def change(m: Manifest) -> Manifest:
-            if m.codec == codec or (codec != "none" and m.codec != "none"):
-                raise InvalidState("the table is in that state already")
+            self._check_codec(m.codec, codec)
             new = replace(m, codec=codec)
             return new.with_partitions(m.named() | self._write(self._base(m, [p.name for p in m.partitions if p.rows]), new))
 
         return self._edit(change)
 
-    def compress(self, codec: str = "zstd") -> GridWriter:
-        """Rewrites the table with a codec; files are compressed as wholes, not by column."""
-        return self._recode(parse_codec(codec))
+    def compress(self, codec: str = "zstd", partition: str | None = None) -> GridWriter:
+        """Rewrites the table, or one partition, with a codec; files are compressed as wholes, not by column."""
+        return self._recode(parse_codec(codec), partition)
 
-    def decompress(self) -> GridWriter:
-        return self._recode("none")
+    def decompress(self, partition: str | None = None) -> GridWriter:
+        return self._recode("none", partition)
 
     def set_properties(self, **properties) -> GridWriter:
         return self._edit(lambda m: replace(m, properties=m.properties | properties))
 
-    def fix(self) -> GridWriter:
-        """Columns are the table's, so every partition shows all of them; removes folders no version uses."""
+    def fix(self, age_s: float = 7 * 86_400) -> GridWriter:
+        """Columns are the table's, so every partition shows all of them; removes folders that the present
+        version doesn't use and that are older than ``age_s`` seconds, so none of a running reader's."""
         with self.store.lock():
-            self.store.vacuum()
+            self.store.vacuum(age_s)
         return self
 
     def stream(self) -> StreamWriter:
@@ -401,13 +502,12 @@ class StreamWriter:
             raise InvalidState("finished")
         df, types = self.writer._input(data)
         m = self.writer._new_fields(self.manifest, types)
-        parted = self.writer._parted(df, m)
-        names = [r["part"] for r in parted.select("part").distinct().collect()]
-        if again := [n for n in names if n in self.done]:
+        new = self.writer._write(self.writer._parted(df, m), m)
+        if again := sorted(set(new) & set(self.done)):
+            self.writer._remove(new[again[0]].folder.rpartition("/")[0])
             raise InvalidState(f"partition {again[0]!r} was written before")
-        self.writer._check_grid(parted.select("part", "sym", "time"))
         self.manifest = m
-        self.done |= self.writer._write(parted, m)
+        self.done |= new
         return self
 
     write_batch = write_partition
@@ -421,6 +521,25 @@ class StreamWriter:
                 self._lock.__exit__(None, None, None)
         return self.writer
 
+    def abort(self) -> None:
+        """Ends the ingest; nothing of it is seen."""
+        if not self.closed:
+            self.closed = True
+            try:
+                for folder in {p.folder.rpartition("/")[0] for p in self.done.values()}:
+                    self.writer._remove(folder)
+            finally:
+                self._lock.__exit__(None, None, None)
+
+    def __enter__(self) -> StreamWriter:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            self.finish()
+        else:
+            self.abort()
+
 
 def _all(columns):
     out = F.lit(True)

@@ -9,16 +9,19 @@ from pyspark.sql.streaming import DataStreamWriter
 from lattica.sources.writer import GridWriter
 
 
-def write_stream(stream: DataFrame, writer: GridWriter, checkpoint: str, mode: str = "upsert", scheme: str = "month") -> DataStreamWriter:
+def write_stream(stream: DataFrame, writer: GridWriter, checkpoint: str, order: str | None = None, mode: str = "upsert", scheme: str = "month") -> DataStreamWriter:
     """Each micro-batch goes through ``writer.sink``; writing a batch again changes nothing.
 
-    Keys that repeat within a batch keep their last row by the batch's order of columns.
+    Of keys that repeat within a batch, the row of the greatest ``order`` (a column, which is not
+    written) stays; without it, repeated keys are an error.
     """
 
     def one(batch: DataFrame, _: int) -> None:
-        fields = [c for c in batch.columns if c not in ("sym", "time")]
-        latest = batch.groupBy("sym", "time").agg(F.max(F.struct(*fields)).alias("r")).select("sym", "time", *(F.col("r").getField(c).alias(c) for c in fields)) if fields else batch.distinct()
-        writer.sink(latest, mode=mode, scheme=scheme)
+        if order is not None:
+            fields = [c for c in batch.columns if c not in ("sym", "time", order)]
+            last = F.max_by(F.struct(*(F.col(c) for c in fields)), order).alias("r")
+            batch = batch.groupBy("sym", "time").agg(last).select("sym", "time", *(F.col("r").getField(c).alias(c) for c in fields))
+        writer.sink(batch, mode=mode, scheme=scheme)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
 

@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 from lattica import errors
 from lattica.functions.calendar import civil_from_days, days_from_civil, fits, parse_scheme, partition_name, partition_range
 from lattica.functions.types import cast_column
-from lattica.operators import index, ranges
+from lattica.functions import codec
+from lattica.operators import bucketed, index, ranges
 from lattica.plans.planner import prune
 from lattica.plans.predicate import And, Cmp, Not, Or, to_column
-from lattica.sources.reader import GridReader
+from lattica.sources import source
+from lattica.sources.reader import GridReader, open_table
 from lattica.sources.writer import GridWriter
+from lattica.streaming.ingest import write_stream
 
 
 def d(m, day):
     return dt.date(2026, m, day)
 
 
+# The surveyed example's rows.
 ROWS = [("AAPL", d(8, 3), 10.0), ("AAPL", d(8, 4), 11.0), ("MSFT", d(8, 3), 20.0), ("MSFT", d(8, 4), 21.0), ("AAPL", d(9, 1), 12.0), ("AAPL", d(9, 2), 13.0), ("MSFT", d(9, 1), 22.0), ("MSFT", d(9, 2), 23.0)]
 SCHEMA = "sym string, time date, price double"
 
@@ -174,3 +178,191 @@ def test_calendar():
     assert prune(["month=2026-08", "month=2026-09"], dt.datetime(2026, 9, 1), None) == ["month=2026-09"]
     with pytest.raises(errors.Invalid):
         partition_range("month=2026-13")
+
+
+def test_limit_and_symbols_prune(spark, table):
+    r = table.as_reader()
+    opened = lambda **request: {f.split("__part=")[1].split("/")[0] for f in r.scan(**request).inputFiles()}
+    assert opened(limit=3) == {"month-2026-08"} and opened(limit=5) == {"month-2026-08", "month-2026-09"}
+    assert r.plan(symbols="NONE") == [] or r.plan(symbols="ZZZ") == []
+    assert r.scan(symbols="ZZZ").count() == 0 and r.scan(limit=0).count() == 0
+    with pytest.raises(errors.Invalid):
+        r.scan(limit=-1)
+
+
+def test_request_shows_what_it_reads(spark, table):
+    s = GridReader(spark, table.path, max_parallelism=1).request(start=d(9, 1), columns=["price"], limit=3)
+    assert (s.partitions, s.remaining, s.projection, s.limit, s.table_scheme, s.max_parallelism) == (["month=2026-09"], 4, ["price"], 3, "month", 1)
+    assert s.frame().count() == 3 and [b.num_rows for b in s.into_reader(2)] == [2, 1]
+    assert GridReader(spark, table.path, 1).scan().rdd.getNumPartitions() == 1
+
+
+def test_batch_reader(spark, table):
+    r = table.as_reader().batches(3, columns=["price"])
+    assert r.next().num_rows == 3
+    rest = r.read_all()
+    assert rest.column("price").to_pylist() == [21, 12, 13, 22, 23] and rest.schema.names == ["sym", "time", "price"]
+    assert r.next() is None
+    with table.as_reader().batches() as b:
+        first = next(b)
+    assert first.num_rows > 0
+    with pytest.raises(errors.InvalidState):
+        next(b)
+    assert table.as_reader().batches(symbols="ZZZ").read_all().num_rows == 0
+
+
+def test_open_modes_and_errors(spark, table, tmp_path):
+    assert isinstance(open_table(spark, table.path, "w"), GridWriter) and isinstance(open_table(spark, table.path), GridReader)
+    for path, mode, error in ((str(tmp_path / "none"), "w", errors.NotFound), (table.path, "x", errors.Invalid)):
+        with pytest.raises(error):
+            open_table(spark, path, mode)
+    with pytest.raises(errors.Codec):
+        table.compress("rar")
+    store = table.store
+    store.files.create(store.files.path(store.grid, "v99999999.json"), "{broken")
+    with pytest.raises(errors.Format):
+        table.as_reader()
+
+
+def jobs(spark, work):
+    """How many Spark jobs ``work`` runs."""
+    group = f"g{id(work)}"
+    spark.sparkContext.setJobGroup(group, group)
+    work()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_write_takes_few_jobs(spark, table):
+    patch = spark.createDataFrame(ROWS[:2], SCHEMA)
+    assert jobs(spark, lambda: table.write(patch)) < 20
+    assert jobs(spark, lambda: table.update(patch)) < 12
+
+
+def test_failed_writes_leave_nothing(spark, table):
+    folders = lambda: table.store.files.names(table.store.files.path(table.store.files.root, "data"))
+    before = folders()
+    for bad, error in (([("AAPL", d(8, 9), 1.0)], errors.KeyMissing), ([(None, d(8, 3), 1.0)], errors.Invalid), ([("NEW", d(8, 30), 1.0), ("NEW", d(8, 28), 1.0), ("B", d(8, 29), 1.0)], errors.KeyMissing)):
+        with pytest.raises(error):
+            table.write(spark.createDataFrame(bad, SCHEMA))
+    with pytest.raises(errors.NonContiguousTime):
+        table.update(spark.createDataFrame([("A", d(8, 1), 1.0), ("A", d(8, 3), 1.0), ("B", d(8, 2), 1.0)], SCHEMA))
+    assert folders() == before and prices(table) == [10, 11, 20, 21, 12, 13, 22, 23]
+
+
+def test_ticks_share_no_axis(spark, tmp_path):
+    rows = [("A", d(1, 1), 1.0), ("A", d(1, 3), 1.0), ("B", d(1, 2), 1.0), ("B", d(1, 2), 2.0)]
+    w = GridWriter(spark, str(tmp_path / "t")).init(spark.createDataFrame(rows, SCHEMA), rule="ticks")
+    assert w.as_reader().scan().count() == 4 and w.as_reader().meta()["rule"] == "ticks"
+    with pytest.raises(errors.Invalid):
+        GridWriter(spark, str(tmp_path / "u")).init(spark.createDataFrame(rows, SCHEMA), rule="none")
+
+
+def test_stream_aborts(spark, table):
+    s = table.stream().write_partition(spark.createDataFrame([("A", d(11, 1), 1.0)], SCHEMA))
+    with pytest.raises(errors.InvalidState):
+        s.write_partition(spark.createDataFrame([("B", d(11, 2), 1.0)], SCHEMA))
+    s.abort()
+    assert prices(table) == [10, 11, 20, 21, 12, 13, 22, 23]
+    with table.stream() as s:
+        s.write_partition(spark.createDataFrame([("A", d(11, 1), 1.0)], SCHEMA))
+    assert prices(table)[-1] == 1
+    with pytest.raises(ValueError), table.stream() as s:
+        raise ValueError
+    table.update(spark.createDataFrame([("A", d(11, 1), 2.0)], SCHEMA))
+
+
+def test_vacuum_spares_young_folders(spark, table):
+    old = table.as_reader().scan()
+    table.update(spark.createDataFrame(ROWS[:1], SCHEMA))
+    table.fix()
+    assert old.count() == 8
+    table.fix(age_s=0)
+    assert prices(table) == [10, 12, 13, 22, 23]
+
+
+def test_empty_partitions(spark, table):
+    table.create_partition("month=2027-01").rename_partition("month=2027-01", "month=2027-02")
+    assert table.as_reader().plan()[-1] == "month=2027-02" and table.as_reader().statistics()["partition_count"] == 2
+    with pytest.raises(errors.Invalid):
+        table.rename_partition("month=2026-08", "month=2026-07")
+    table.update(spark.createDataFrame([("A", d(2, 1).replace(year=2027), 5.0)], SCHEMA))
+    assert prices(table)[-1] == 5
+    table.decompress("month=2026-08")
+    assert {p.name: p.codec for p in table.as_reader().manifest().partitions}["month=2026-08"] == "none"
+
+
+def test_buckets_meet(spark, monkeypatch):
+    """Ranges over many buckets, against sets of rows."""
+    monkeypatch.setattr(bucketed, "ROWS", 4)
+    make = lambda rows: spark.createDataFrame([("", *r) for r in rows], "part string, offset long, length long")
+    got = lambda df: sorted((r["offset"], r["length"]) for r in df.collect())
+
+    def islands_of(rows):
+        rows, out = sorted(rows), []
+        for x in rows:
+            if out and out[-1][0] + out[-1][1] == x:
+                out[-1][1] += 1
+            else:
+                out.append([x, 1])
+        return [tuple(x) for x in out]
+
+    cover = lambda ranges: {x for o, n in ranges for x in range(o, o + n)}
+    a, b = [(-7, 5), (0, 3), (3, 1), (8, 20), (10, 2), (30, 4), (40, 0), (41, 1), (43, 9)], [(-3, 9), (11, 1), (16, 4), (20, 13), (44, 1), (46, 30)]
+    assert got(ranges.merge(make(a))) == islands_of(cover(a))
+    assert got(ranges.intersect(make(a), make(b))) == islands_of(cover(a) & cover(b))
+    assert got(ranges.clamp(make(a), 25)) == islands_of({x for x in cover(a) if 0 <= x < 25})
+    rows = spark.createDataFrame([("", x) for x in cover(b)], "part string, row_no long")
+    assert got(ranges.islands(rows)) == islands_of(cover(b))
+    assert ranges.contains(make(b), "", 19) and not ranges.contains(make(b), "", 10)
+
+
+def test_running_in_buckets(spark):
+    rows = [("A" if i % 3 else None, d(1 + i // 20, 1 + i % 20), i * 7 % 5 if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "sym string, time date, v long")
+    b = bucketed.time_bucket(F.col("time"))
+    assert df.select(b).distinct().count() > 3
+    w = "OVER (PARTITION BY sym ORDER BY time"
+    df.createOrReplaceTempView("running")
+    want = spark.sql(f"SELECT sym, time, v, last(v, true) {w}) AS l, sum(v) {w}) AS s, row_number() {w}) - 1 AS n, lag(v) {w}) AS p FROM running")
+    got = bucketed.last_value(df, F.col("v"), ["sym"], ["time"], b, "l")
+    got = bucketed.row_number(bucketed.running_sum(got, F.coalesce("v", F.lit(0)), ["sym"], ["time"], b, "s"), ["sym"], ["time"], b, "n")
+    got = bucketed.previous(got, F.col("v"), ["sym"], ["time"], b, "p").withColumn("p", F.col("p.v"))
+    key = lambda r: repr((r["sym"], r["time"]))
+    for x, y in zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True):
+        assert (x["l"], x["s"], x["n"], x["p"]) == (y["l"], y["s"] or 0, y["n"], y["p"])
+
+
+def test_codecs_round_trip(spark):
+    values = [0, -1, 5, 5, 5, (1 << 62), -(1 << 62), 3, -(1 << 63), (1 << 63) - 1, 0, 0]
+    df = spark.createDataFrame([("A", d(1, 1 + i), i, v) for i, v in enumerate(values)], "sym string, time date, place long, v long")
+    packed = codec.pack(df, "v", ["sym"], "place", 4)
+    assert packed.count() == 3 and max(r["width"] for r in packed.collect()) == 64
+    assert [r["value"] for r in codec.unpack(packed, ["sym"], 4).orderBy("place").collect()] == values
+    encoded = codec.runs(df, "v", ["sym"], ["time"])
+    assert [r["value"] for r in codec.runs_decode(encoded, ["sym"]).orderBy("place").collect()] == values
+
+
+def test_stream_keeps_the_latest(spark, tmp_path):
+    shape = "sym string, time date, price double, seq long"
+    feed = lambda rows, name: spark.createDataFrame(rows, shape).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    w = GridWriter(spark, str(tmp_path / "t"))
+
+    def run():
+        stream = spark.readStream.schema(shape).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        write_stream(stream, w, str(tmp_path / "c"), order="seq").trigger(availableNow=True).start().awaitTermination()
+
+    feed([("A", d(1, 1), 9.0, 1), ("A", d(1, 1), 2.0, 2), ("A", d(1, 2), 3.0, 1)], "a")
+    run()
+    assert prices(w) == [2, 3]
+    feed([("A", d(1, 2), 4.0, 3), ("A", d(1, 3), 5.0, 1)], "b")
+    run()
+    assert prices(w) == [2, 4, 5]
+
+
+def test_data_source(spark, table):
+    source.register(spark)
+    table.init_field("late", "int64")
+    df = spark.read.format("lattica").load(table.path)
+    assert df.columns == ["sym", "time", "late", "price"] and df.count() == 8
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW v USING lattica OPTIONS (path '{table.path}', start '2026-08-04')")
+    assert [r[0] for r in spark.sql("SELECT price FROM v WHERE time < DATE'2026-09-02' ORDER BY price").collect()] == [11, 12, 21, 22]
