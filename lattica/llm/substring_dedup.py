@@ -1,13 +1,17 @@
 """Removal of word passages that repeat an earlier document (operator 3).
 
-Prefix-partitioned suffix trees.  Each window of ``window`` words is a suffix cut at the
-depth that decides.  Its prefix is its anchor: the rarest-hashed run of ``prefix`` words in
-it, which equal windows share.  Prefixes that one document alone has are leaves and are
-left out; the others' suffixes are dealt by prefix, and a prefix with many suffixes is
-lengthened to the whole window, so that each group stays small.  Sorted by (prefix, window),
-a group's suffixes lie in the order of its subtree, whose internal nodes at full depth are
-runs of equal windows; the first member of a run has its smallest doc_id.  Edge labels are
-compared by 64-bit hashes of words, prefix and window together (128 bits).
+Prefix-partitioned suffix trees.  A suffix begins at each word and is read as deep as decides,
+``window`` words.  Suffixes are dealt to subtrees by prefixes of two lengths: by an anchor of
+``prefix`` words, and where many documents have the anchor, by all of the window.  (The anchor is the
+run of ``prefix`` words that hashes lowest within the window, the prefix of the suffix that starts
+there.  Equal windows share it at the same place; and as neighbouring windows mostly share it too,
+they go to a subtree together, as one segment of text, which takes a fifth of the space.)  Anchors
+that one document alone has are leaves, and left out.
+
+A subtree is built as sorted suffixes with the lengths of their common prefixes: words are
+numbered, not hashed, so comparison is exact.  Its nodes at depth ``window`` and deeper are the
+repeats; of a node's documents, all but the smallest repeat it, and what they repeat at consecutive
+places joins to maximal repeats.  Hashes only decide where a suffix goes.
 
 Each task first builds the subtrees of its own documents: all but the smallest member of a
 node are decided there, and one member goes on.  So a passage that a third of all
@@ -15,7 +19,8 @@ documents share sends one row per task.
 
 Null text: no words.  Fewer words than a window: nothing removed.  A null doc_id counts as
 larger than any other.  Rows that repeat a doc_id are judged each for itself and never
-against each other.
+against each other.  The filter of shared anchors has a bounded size; of more anchors than it holds,
+suffixes that repeat nothing go to subtrees as well: more work, the same result.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,32 +39,34 @@ from lattica.llm.common import (
     bitmap,
     column,
     flat,
+    free,
     in_bitmap,
+    may_hold,
     mix,
     pin,
     row_key,
     slices,
-    small_batches,
     span_hashes,
     texts,
     word_hashes,
     word_spans,
 )
 
-#: A prefix in more documents than this is lengthened to the whole window.
+#: An anchor in more documents than this is lengthened to the whole window.
 HEAVY = 1000
-#: Suffixes that a task holds at once.
-HELD = 2_000_000
+#: Suffixes that a task sorts at once.
+HELD = 600_000
+SEGMENTS = "p long, seg binary, nid long, rk long, at int, n int"
 
 
 def _windows(batch: pa.RecordBatch, window: int, prefix: int):
-    """(text number, position in it, prefix hash, window hash) of each window of a batch."""
+    """Spans of the words of a batch, and (text number, first word, place in the text, anchor) of each window."""
     data, offsets = flat(batch.column("text"))
     starts, ends, first = word_spans(data, offsets)
     n = len(starts)
     if n < window:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return (data, starts, ends), (none, none, none, none.astype(np.uint64)), none.astype(np.uint64)
     words = word_hashes(data, starts, ends)
     at = np.arange(n - prefix + 1)
     runs = span_hashes(words, at, at + prefix)
@@ -70,14 +78,56 @@ def _windows(batch: pa.RecordBatch, window: int, prefix: int):
     low = np.minimum(low[: len(low) - (wide - step)], low[wide - step :]) if wide > step else low
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.flatnonzero(text[: n - window + 1] == text[window - 1 :])
-    return text[at], at - first[text[at]], low[at], span_hashes(words, at, at + window)
+    return (data, starts, ends), (text[at], at, at - first[text[at]], low[at]), words
+
+
+def suffix_tree(ids: np.ndarray, starts: np.ndarray, window: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted suffixes of ``ids`` (word numbers) at ``starts``, read ``window`` deep, and for each the
+    length of the prefix that it has in common with the one before; suffixes of a ``group`` are kept together."""
+    rows = np.lib.stride_tricks.sliding_window_view(ids, window)[starts] if len(starts) else np.zeros((0, window), ids.dtype)
+    bits = max(1, int(ids.max(initial=0)).bit_length())
+    per = max(1, 63 // bits)
+    keys = []
+    for i in range(0, window, per):  # several words in one number, the first in the highest place
+        key = np.zeros(len(rows), np.int64)
+        for j in range(i, min(window, i + per)):
+            key = (key << bits) | rows[:, j]
+        keys.append(key)
+    if group is not None:
+        keys.insert(0, group)
+    order = np.lexsort(keys[::-1])
+    same = rows[order[1:]] == rows[order[:-1]]
+    common = np.where(same.all(axis=1), window, same.argmin(axis=1)) if len(same) else np.zeros(0, np.int64)
+    if group is not None:
+        common[group[order[1:]] != group[order[:-1]]] = 0
+    return order, np.concatenate([np.zeros(min(1, len(order)), np.int64), common])
+
+
+def repeats(order: np.ndarray, common: np.ndarray, depth: int, nid: np.ndarray) -> np.ndarray:
+    """Which suffixes stand below a node of that depth with a document smaller than theirs."""
+    out = np.zeros(len(order), bool)
+    if len(order):
+        head = common < depth
+        low = np.minimum.reduceat(nid[order], np.flatnonzero(head))
+        out[order] = nid[order] > low[np.cumsum(head) - 1]
+    return out
+
+
+def _runs(hit: np.ndarray, *same: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, length) of runs among the suffixes numbered ``hit``: consecutive places, equal in ``same``."""
+    if not len(hit):
+        return hit, hit
+    new = np.ones(len(hit), bool)
+    new[1:] = (at[hit][1:] != at[hit][:-1] + 1) | np.logical_or.reduce([x[hit][1:] != x[hit][:-1] for x in same])
+    head = np.flatnonzero(new)
+    return hit[head], np.append(head[1:], len(hit)) - head
 
 
 def _prefixes(window: int, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                text, _, low, _ = _windows(batch, window, prefix)
+                _, (text, _, _, low), _ = _windows(batch, window, prefix)
                 ids = batch.column("nid").to_numpy()[text]
                 new = np.ones(len(low), bool)
                 new[1:] = (low[1:] != low[:-1]) | (ids[1:] != ids[:-1])
@@ -99,43 +149,64 @@ def _prefixes(window: int, prefix: int):
     return run
 
 
-def _suffixes(window: int, prefix: int, shared, heavy):
-    """Rows (p, w, nid, rk, at, n): a suffix to compare, or with n > 0 a run of n windows already found."""
+def _batch(p, seg, nid, rk, at, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(p.view(np.int64)), seg, pa.array(nid), pa.array(rk), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
+        names=["p", "seg", "nid", "rk", "at", "n"],
+    )
+
 
-    def out(p, w, nid, rk, at, n):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(p.view(np.int64)), pa.array(w.view(np.int64)), pa.array(nid), pa.array(rk), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
-            names=["p", "w", "nid", "rk", "at", "n"],
-        )
+def _segments(words: pa.Array, first: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Words first to first + size, joined by a space."""
+    ends = np.cumsum(size)
+    index = np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int64()), words.take(pa.array(index)))
+    return pc.cast(pc.binary_join(lists, pa.scalar(b" ", pa.large_binary())), pa.binary())
+
+
+def _suffixes(window: int, prefix: int, shared, heavy):
+    """Rows (p, seg, nid, rk, at, n): a segment of n windows to compare, or without seg, n windows already found to repeat."""
 
     def settle(parts):
-        p, w, nid, rk, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((at, rk, nid, w, p))
-        sp, sw, sid = p[order], w[order], nid[order]
-        head = np.concatenate([[True], (sp[1:] != sp[:-1]) | (sw[1:] != sw[:-1])])
-        low = sid[np.flatnonzero(head)][np.cumsum(head) - 1]
-        later = np.zeros(len(p), bool)
-        later[order] = sid > low
-        rest = order[~(sid > low)]
-        key = np.where(in_bitmap(heavy.value, p[rest]), mix(p[rest] ^ w[rest]), p[rest])
-        yield out(key, w[rest], nid[rest], rk[rest], at[rest], np.zeros(len(rest), np.int32))
-        hit = np.flatnonzero(later)  # in order of rows and positions
+        arrays, begin, low, whole, nid, rk, at = zip(*parts, strict=True)
+        sizes = np.array([len(x) for x in arrays])
+        begin = np.concatenate([b + o for b, o in zip(begin, np.cumsum(sizes) - sizes, strict=True)])
+        low, whole, nid, rk, at = (np.concatenate(x) for x in (low, whole, nid, rk, at))
+        words = pa.concat_arrays(arrays)
+        ids = words.dictionary_encode().indices.to_numpy().astype(np.int64)
+        later = repeats(*suffix_tree(ids, begin, window), window, nid)
+        hit, n = _runs(np.flatnonzero(later), rk, nid, at=at)
         if len(hit):
-            new = np.concatenate([[True], (rk[hit][1:] != rk[hit][:-1]) | (nid[hit][1:] != nid[hit][:-1]) | (at[hit][1:] != at[hit][:-1] + 1)])
-            head = np.flatnonzero(new)
-            n = np.append(head[1:], len(hit)) - head
-            h = hit[head]
-            yield out(rk[h].view(np.uint64), w[h], nid[h], rk[h], at[h], n)
+            yield _batch(rk[hit].view(np.uint64), pa.nulls(len(hit), pa.binary()), nid[hit], rk[hit], at[hit], n)
+        key = np.where(in_bitmap(heavy.value, low), mix(low ^ whole), low)
+        first, n = _runs(np.flatnonzero(~later), rk, nid, key, at=at)
+        for i in range(0, len(first), 50_000):
+            f, m = first[i : i + 50_000], n[i : i + 50_000]
+            yield _batch(key[f], _segments(words, begin[f], m + window - 1), nid[f], rk[f], at[f], m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for whole in batches:
             for batch in slices(whole):
-                text, at, low, w = _windows(batch, window, prefix)
+                (data, starts, ends), (text, first, at, low), hashes = _windows(batch, window, prefix)
                 keep = in_bitmap(shared.value, low)
-                text, at, low, w = text[keep], at[keep], low[keep], w[keep]
-                parts.append((low, w, batch.column("nid").to_numpy()[text], batch.column("rk").to_numpy()[text], at))
-                held += len(w)
+                if not keep.any():
+                    continue
+                text, first, at, low = text[keep], first[keep], at[keep], low[keep]
+                edge = np.zeros(len(starts) + 1, np.int64)
+                np.add.at(edge, first, 1)
+                np.add.at(edge, first + window, -1)
+                covered = np.cumsum(edge[:-1]) > 0
+                # the words without what parts them, end to end
+                sizes = ends - starts
+                solid = np.zeros(len(data) + 1, np.int8)
+                solid[starts] += 1
+                solid[ends] -= 1
+                body = data[np.cumsum(solid[:-1], dtype=np.int8) > 0]
+                words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(body))])
+                begin = (np.cumsum(covered) - 1)[first]
+                parts.append((words.filter(pa.array(covered)), begin, low, span_hashes(hashes, first, first + window), batch.column("nid").to_numpy()[text], batch.column("rk").to_numpy()[text], at))
+                held += len(first)
                 if held >= HELD:
                     yield from settle(parts)
                     parts, held = [], 0
@@ -145,29 +216,45 @@ def _suffixes(window: int, prefix: int, shared, heavy):
     return run
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads sorted suffixes; passes on those that are not of their node's smallest document."""
-    last = (None, None, None)
-    for batch in batches:
-        p, w, nid, n = (batch.column(k).to_numpy() for k in ("p", "w", "nid", "n"))
-        if not len(p):
-            continue
-        found = n > 0
-        s = np.flatnonzero(~found)
-        if len(s):
-            head = np.concatenate([[(p[s[0]], w[s[0]]) != last[:2]], (p[s][1:] != p[s][:-1]) | (w[s][1:] != w[s][:-1])])
-            low = nid[s].copy()
-            at = np.where(head, np.arange(len(s)), 0)
-            np.maximum.accumulate(at, out=at)
-            low = low[at]
-            if not head[0]:
-                until = int(np.argmax(head)) if head.any() else len(s)
-                low[:until] = last[2]
-            found = found.copy()
-            found[s] = nid[s] > low
-            last = (p[s[-1]], w[s[-1]], low[-1])
-        keep = batch.filter(pa.array(found))
-        yield keep.select(["rk", "nid", "at", "n"])
+def _subtrees(window: int):
+    """Reads segments sorted by prefix; gives the runs of windows that repeat a smaller document."""
+
+    def grown(batch: pa.RecordBatch):
+        p, nid, rk, at, n = (batch.column(k).to_numpy() for k in ("p", "nid", "rk", "at", "n"))
+        lists = pc.split_pattern(batch.column("seg"), pattern=b" ")
+        ids = lists.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+        seg = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
+        begin = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
+        group = np.cumsum(np.concatenate([[0], p[1:] != p[:-1]]))
+        later = repeats(*suffix_tree(ids, begin[seg] + place, window, group[seg]), window, nid[seg])
+        hit, m = _runs(np.flatnonzero(later), seg, at=place)
+        return pa.RecordBatch.from_arrays([pa.array(rk[seg[hit]]), pa.array(nid[seg[hit]]), pa.array((at[seg[hit]] + place[hit]).astype(np.int32)), pa.array(m.astype(np.int32))], names=["rk", "nid", "at", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for whole in batches:
+            found = pc.is_null(whole.column("seg"))
+            yield whole.filter(found).select(["rk", "nid", "at", "n"])
+            batch = whole.filter(pc.invert(found))
+            # a group ends where the next one begins
+            while batch.num_rows:
+                p = batch.column("p").to_numpy()
+                if held and held[-1].column("p")[-1].as_py() != p[0]:
+                    yield grown(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    held = []
+                last = int(np.argmax(p == p[-1]))
+                if last and not held:
+                    yield grown(batch.slice(0, last))
+                    batch = batch.slice(last)
+                    continue
+                cut = int(np.argmax(p != p[0])) or len(p)
+                held.append(batch.slice(0, cut))
+                batch = batch.slice(cut)
+        if held:
+            yield grown(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return run
 
 
 def _keep(window: int):
@@ -200,7 +287,6 @@ def _keep(window: int):
 def remove_repeats(docs: DataFrame, window: int = 13, prefix: int = 6) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the kept text of each row of ``docs``."""
     spark = docs.sparkSession
-    small_batches(spark)
     doc_id, text = column("doc_id"), column("text")
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(LAST_ID)).alias("nid"), row_key(doc_id, text).alias("rk"))
     found = (
@@ -216,18 +302,24 @@ def remove_repeats(docs: DataFrame, window: int = 13, prefix: int = 6) -> DataFr
     long = found.filter(F.col("n") > HEAVY)
     shared = spark.sparkContext.broadcast(bitmap(found, "p", total))
     heavy = spark.sparkContext.broadcast(bitmap(long, "p", long.count()))
+    free(found)
     hits = (
         rows.select("nid", "rk", "text")
-        .mapInArrow(_suffixes(window, prefix, shared, heavy), "p long, w long, nid long, rk long, at int, n int")
+        .mapInArrow(_suffixes(window, prefix, shared, heavy), SEGMENTS)
         .repartition("p")
-        .sortWithinPartitions("p", "w", "nid")
-        .mapInArrow(_nodes, "rk long, nid long, at int, n int")
+        .sortWithinPartitions("p")
+        .mapInArrow(_subtrees(window), "rk long, nid long, at int, n int")
         .groupBy("rk", "nid")
         .agg(F.collect_list(F.struct("at", "n")).alias("hits"))
         .select("rk", "nid", F.col("hits.at").alias("at"), F.col("hits.n").alias("n"))
     )
+    hits = pin(hits)
+    # only texts that may have lost words meet the list in a join
+    some, none = may_hold(rows, F.col("rk"), hits, "rk")
+    none = none.select("doc_id", "text", F.lit(None).cast("array<int>").alias("at"), F.lit(None).cast("array<int>").alias("n"))
     return (
-        rows.join(hits, ["rk", "nid"], "left")
+        some.join(hits, ["rk", "nid"], "left")
         .select("doc_id", "text", "at", "n")
+        .unionByName(none)
         .mapInArrow(_keep(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     )
