@@ -4,15 +4,19 @@ A tokenizer feeds a tree builder that closes implied tags (a list item ends the
 a block ends a paragraph, a cell ends a cell, and so on) and knows void elements and raw text.
 A cell outside a row begins one, and what stands in a table but in no cell moves before it, as
 in browsers.  The renderer then walks the tree: elements that browsers don't show (head, script,
-style, template, noscript, the hidden attribute, a style of display:none or visibility:hidden,
-definitions in svg, annotations in math) give nothing; text in svg, math and textarea is shown,
+style, template, noscript, the hidden attribute, a style of display:none, definitions in svg,
+annotations in math) give nothing; visibility:hidden hides an element's own text, and what is inside
+unless it says visibility:visible again; text in svg, math and textarea is shown,
 and all options of a select, a line each;
 blocks stand on lines of their own, with an empty line around paragraphs, headings, lists and
-tables; list items get a bullet or their number and an indent; cells of a table's rows are
-padded to columns; pre keeps its spaces; other runs of white space become one space.
+tables; list items get a bullet or their number (start and value count) and an indent; cells of a table's
+rows are padded to columns (colspan and rowspan count, up to the standard's bounds of 1,000 columns and
+65,534 rows, and to the table's end); pre keeps its spaces; other runs of white space become one space.
 
 Null html gives null text; empty html, an empty text.  Unclosed or misnested tags never fail.
-The walk keeps its own stack, so depth is bounded by memory alone.
+The walk keeps its own stack, so depth is bounded by memory alone, but tables in tables beyond
+``NESTED`` levels are shown as plain blocks.  Long pages are done like others, in time about proportional to their
+length.  Rows that repeat a page_id are done each by its own html; other columns are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lattica.llm.common import column, small_batches
+from lattica.llm.common import column
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,8 +70,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*
 HIDES = re.compile(r"hidden|style", re.I)
 ATTR = re.compile(r"([^\s/=>][^\s/=>]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'][^\s]*))?")
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
-START = re.compile(r"start\s*=\s*[\"']?(-?\d{1,9})", re.I)
-SPAN = re.compile(r"colspan\s*=\s*[\"']?(\d{1,3})", re.I)
+INTEGER = re.compile(r"\s*([+-]?\d{1,9})")
+#: Levels of tables in tables that are laid out.
+NESTED = 100
 WHITE = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -78,22 +83,45 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
-def hidden(attrs: str) -> bool:
-    """Whether the hidden attribute or the style hides the element; a display in the style goes before the attribute."""
-    if not HIDES.search(attrs):
-        return False
-    values: dict[str, str] = {}
+def attributes(attrs: str) -> dict[str, str]:
+    out: dict[str, str] = {}
     for m in ATTR.finditer(attrs):
-        values.setdefault(m[1].lower(), m[2] or "")
+        out.setdefault(m[1].lower(), m[2] or "")
+    return out
+
+
+def number(attrs: str, name: str, otherwise: int) -> int:
+    """An attribute's integer."""
+    m = INTEGER.match(html.unescape(attributes(attrs).get(name, "").strip("\"'"))) if name in attrs.lower() else None
+    return int(m[1]) if m else otherwise
+
+
+def shown(attrs: str) -> tuple[bool, bool | None]:
+    """Whether the element is displayed, and whether its text is visible (None: as around it).
+
+    A display in the style goes before the hidden attribute.
+    """
+    if not HIDES.search(attrs):
+        return True, None
+    values = attributes(attrs)
     style: dict[str, tuple[bool, str]] = {}
     for part in COMMENT.sub("", html.unescape(values.get("style", "").strip("\"'"))).split(";"):
         name, _, value = part.partition(":")
         name, (value, mark, _) = name.strip().lower(), value.strip().lower().partition("!")
         if value.strip() and (mark or not style.get(name, (False,))[0]):
             style[name] = (bool(mark), value.strip())
-    if style.get("visibility", (False, ""))[1] in ("hidden", "collapse"):
-        return True
-    return style["display"][1] == "none" if "display" in style else "hidden" in values
+    visible = {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(style.get("visibility", (False, ""))[1])
+    return (style["display"][1] != "none" if "display" in style else "hidden" not in values), visible
+
+
+def displayed(node: Node) -> bool:
+    return not node.attrs or shown(node.attrs)[0]
+
+
+def sight(node: Node, around: bool) -> bool:
+    """Whether text right in ``node`` is visible."""
+    own = shown(node.attrs)[1] if node.attrs else None
+    return around if own is None else own
 
 
 def parse(page: str) -> Node:
@@ -249,37 +277,49 @@ def wide(s: str) -> int:
     return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
-def _rows(table: Node):
-    todo = list(reversed(table.children))
-    while todo:
-        n = todo.pop()
-        if isinstance(n, str) or hidden(n.attrs):
+def _rows(table: Node, seen: bool):
+    """The rows of a table, the last of each group marked, and whether their text is visible."""
+    for n in table.children:
+        if isinstance(n, str) or not displayed(n):
             continue
         if n.tag == "tr":
-            yield n
+            yield n, False, sight(n, seen)
         elif n.tag in ("thead", "tbody", "tfoot"):
-            todo.extend(reversed(n.children))
+            rows = [r for r in n.children if not isinstance(r, str) and r.tag == "tr" and displayed(r)]
+            for i, r in enumerate(rows):
+                yield r, i == len(rows) - 1, sight(r, sight(n, seen))
 
 
-def _table(table: Node, out: Lines, indent: str, depth: int) -> None:
+def _table(table: Node, out: Lines, indent: str, depth: int, seen: bool) -> None:
     for n in table.children:
-        if not isinstance(n, str) and n.tag == "caption" and not hidden(n.attrs):
-            render(n, out, indent, depth)
+        if not isinstance(n, str) and n.tag == "caption" and displayed(n):
+            render(n, out, indent, depth, sight(n, seen))
             out.line()
     grid = []
-    for row in _rows(table):
-        cells = []
+    below: dict[int, int] = {}  # for each column, the rows that a cell from above still takes
+    for row, last, visible in _rows(table, seen):
+        cells: list[list[str]] = []
+
+        def skip(cells=cells):
+            while below.get(len(cells), 0) > 0:
+                below[len(cells)] -= 1
+                cells.append([])
+
         for n in row.children:
             # the tree builder leaves nothing else that is shown in a row
-            if isinstance(n, str) or n.tag not in ("td", "th"):
-                continue
-            if hidden(n.attrs):
+            if isinstance(n, str) or n.tag not in ("td", "th") or not displayed(n):
                 continue
+            skip()
             inner = Lines()
-            render(n, inner, "", depth + 1)
-            cells.append([x for x in inner.text().split("\n") if x])
-            span = SPAN.search(n.attrs)
-            cells.extend([[]] * (min(int(span[1]), 100) - 1 if span else 0))
+            render(n, inner, "", depth + 1, sight(n, visible))
+            rows = min(number(n.attrs, "rowspan", 1), 65_534)
+            for i in range(max(1, min(number(n.attrs, "colspan", 1), 1_000))):
+                if rows != 1:
+                    below[len(cells)] = rows - 1 if rows > 0 else 1 << 30
+                cells.append([] if i else [x for x in inner.text().split("\n") if x])
+        skip()
+        if last:
+            below.clear()
         if any(cells):
             grid.append(cells)
     widths: list[int] = []
@@ -297,11 +337,11 @@ def _table(table: Node, out: Lines, indent: str, depth: int) -> None:
             out.line()
 
 
-def render(top: Node, out: Lines, indent: str = "", depth: int = 0) -> None:
-    """Walks ``top``'s children.  Tables in tables beyond 20 levels are shown as plain blocks."""
-    todo: list = [(top, 0, indent, False, None)]  # node, next child, indent, keeps spaces, list counter
+def render(top: Node, out: Lines, indent: str = "", depth: int = 0, seen: bool = True) -> None:
+    """Walks ``top``'s children."""
+    todo: list = [(top, 0, indent, False, None, seen)]  # node, next child, indent, keeps spaces, list counter, visible
     while todo:
-        node, i, indent, keeps, count = todo.pop()
+        node, i, indent, keeps, count, seen = todo.pop()
         if i == len(node.children):
             if node.tag in LINED:
                 out.line()
@@ -309,16 +349,18 @@ def render(top: Node, out: Lines, indent: str = "", depth: int = 0) -> None:
             if node.tag in SPACED and not inside:
                 out.gap = True
             continue
-        todo.append((node, i + 1, indent, keeps, count))
+        todo.append((node, i + 1, indent, keeps, count, seen))
         child = node.children[i]
         if isinstance(child, str):
+            if not seen:
+                continue
             if keeps:
                 out.raw(child, indent)
             else:
                 out.word(child, indent)
             continue
         tag = child.tag
-        if tag in UNSEEN or (child.attrs and hidden(child.attrs)):
+        if tag in UNSEEN or not displayed(child):
             continue
         if tag == "br":
             if out.now:
@@ -336,28 +378,29 @@ def render(top: Node, out: Lines, indent: str = "", depth: int = 0) -> None:
         nested = node.tag == "li" and tag in ("ul", "ol")
         if tag in SPACED and not nested:
             out.gap = True
-        if tag == "table" and depth < 20:
-            _table(child, out, indent, depth)
+        within = sight(child, seen)
+        if tag == "table" and depth < NESTED:
+            _table(child, out, indent, depth, within)
             out.gap = True
             continue
         inner, own = indent, None
         if tag in ("ul", "ol", "menu", "dir"):
-            start = START.search(child.attrs)
-            own = [int(start[1]) if start else 1] if tag == "ol" else [None]
+            own = [number(child.attrs, "start", 1)] if tag == "ol" else [None]
         elif tag == "li":
-            number = count[0] if count else None
-            mark = "- " if number is None else f"{number}. "
-            if count and number is not None:
-                count[0] += 1
+            at = count[0] if count else None
+            if at is not None:
+                at = number(child.attrs, "value", at)
+                count[0] = at + 1
+            mark = "- " if at is None else f"{at}. "
             inner = indent + " " * len(mark)
-            if child.children:
+            if child.children and within:
                 out.now = [indent, mark]
                 out.space = False
         elif tag in ("blockquote", "dd"):
             inner = indent + "  "
         elif tag in ("td", "th"):
             out.word(" ", indent)
-        todo.append((child, 0, inner, keeps or tag in ("pre", "textarea"), own))
+        todo.append((child, 0, inner, keeps or tag in ("pre", "textarea"), own, within))
 
 
 def page_text(page: str) -> str:
@@ -377,5 +420,4 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row with columns page_id, url and html."""
-    small_batches(pages.sparkSession)
     return pages.select(*(column(c).alias(c) for c in ("page_id", "url", "html"))).mapInArrow(_run, "page_id long, url string, text string, n_chars long")
