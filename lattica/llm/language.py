@@ -7,8 +7,10 @@ descent in numpy, then a temperature is fitted on rows kept apart, and a rejecti
 is set there so that ``REJECT`` of the rightly classified rows fall below it.
 
 The model is fitted on about ``TRAIN_ROWS`` rows, an equal number for each language as far
-as there are that many, chosen by a hash of the row; each contributes the counts of all its
-n-grams, so a long text costs at most BUCKETS counts.  Prediction reads whole texts.
+as there are that many, chosen by a hash of doc_id and text, so rows that repeat count once, and taken in
+the order of that hash, so reruns agree; each contributes the counts of all its n-grams, so a long text
+costs at most BUCKETS counts.  Every lang value is a class; over ``MOST_LANGS`` of them raise ValueError.
+Prediction reads whole texts; rows that repeat a doc_id are predicted each by its own text.
 
 Null texts, and texts without a letter, give ``und`` with score 0.  With no labelled row at
 all, or one language alone, every text with a letter gets that language (or ``und``).
@@ -23,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import column, flat, mix, slices, small_batches
+from lattica.llm.common import column, flat, mix, row_key, slices
 
-BUCKETS, DIM, TRAIN_ROWS, REJECT = 1 << 15, 16, 3_000, 0.01
+BUCKETS, DIM, TRAIN_ROWS, REJECT, MOST_LANGS = 1 << 15, 16, 3_000, 0.01, 2_000
 _letters: list[np.ndarray] = []
 
 
@@ -82,8 +84,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, n = np.unique(doc * BUCKETS + ids, return_counts=True)
             cut = np.searchsorted(key, np.arange(1, batch.num_rows) * BUCKETS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), *(pa.array([k.astype(np.int32).tobytes() for k in np.split(x, cut)], pa.binary()) for x in (key % BUCKETS, n))],
-                names=["lang", "ids", "n"],
+                [batch.column("lang"), batch.column("rk"), *(pa.array([k.astype(np.int32).tobytes() for k in np.split(x, cut)], pa.binary()) for x in (key % BUCKETS, n))],
+                names=["lang", "rk", "ids", "n"],
             )
 
 
@@ -140,22 +142,24 @@ def train(langs: list[str], rows: list[tuple[int, np.ndarray, np.ndarray]], epoc
 
 def fit(docs: DataFrame, allowed: Column, train_rows: int = TRAIN_ROWS) -> Model | None:
     """Learns from text and lang of the rows of ``docs`` that ``allowed`` admits."""
-    small_batches(docs.sparkSession)
-    rows = docs.filter(allowed & column("lang").isNotNull() & column("text").isNotNull()).select(column("lang").alias("lang"), column("text").alias("text"), column("doc_id").alias("doc_id"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    doc_id, text = column("doc_id"), column("text")
+    rows = docs.filter(allowed & column("lang").isNotNull() & text.isNotNull()).select(column("lang").alias("lang"), text.alias("text"), row_key(doc_id, text).alias("rk"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGS + 1)
+    sizes = {r["lang"]: r["n"] for r in counts.collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"over {MOST_LANGS} languages")
     if not sizes:
         return None
     each = train_rows / len(sizes)
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, each / n))) for k, n in sizes.items()), F.lit(0.0))
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 24)) < share * (1 << 24))
-    got = picked.select("lang", "text").mapInArrow(_count, "lang string, ids binary, n binary").toArrow()
+    picked = rows.filter(F.pmod(F.xxhash64("rk", F.lit(17)), F.lit(1 << 24)) < share * (1 << 24)).dropDuplicates(["rk"])
+    got = picked.mapInArrow(_count, "lang string, rk long, ids binary, n binary").toArrow().sort_by([("rk", "ascending"), ("lang", "ascending")])
     langs = sorted(sizes)
     return train(langs, [(langs.index(a), np.frombuffer(b, np.int32), np.frombuffer(c, np.int32)) for a, b, c in zip(*(got.column(k).to_pylist() for k in ("lang", "ids", "n")), strict=True)])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score and rejected of each row."""
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
