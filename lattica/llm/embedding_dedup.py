@@ -10,8 +10,10 @@ apart, with every pair kept.  A pair counts in the first table in which it meets
 pair reports each class's number of links and a spanning forest, never the pairs.
 
 Null and zero vectors, and those with null or non-finite components, link with nothing.  The
-same holds for vectors whose length differs: they never meet.  Rows with a null vec_id take
-part and are never a representative if there is another.
+same holds for vectors whose length differs: they never meet.  Vectors are scaled by a power of two
+first, so that no finite one is too long or too short to compare.  Classes have numbers of their own:
+rows with a null vec_id take part, and rows that share a vec_id are compared each by its own vector;
+a component goes by the smallest vec_id among its rows, null if all are null.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import LAST_ID, column, components, mix, pin
+from lattica.llm.common import column, components, free, mix, pin
 from lattica.llm.simhash import forest
 
 STEP, TILE = 6.0, 2_048
@@ -65,7 +67,13 @@ def _keys(unit: np.ndarray, k: int, tables: int, width: float, only: int | None
     return out
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """The same directions, with largest components of 0.5 to 1; exact but for what vanishes beside them."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = _scaled(vectors)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -89,7 +97,7 @@ class _Links:
 
     def __init__(self, group: pd.DataFrame, table: int, k: int, tables: int, width: float, cosine: float):
         self.ids, self.m = group["id"].to_numpy(), group["m"].to_numpy()
-        self.v = np.stack(group["v"].to_numpy()).astype(np.float64)
+        self.v = _scaled(np.stack(group["v"].to_numpy()).astype(np.float64))
         self.norm, self.cosine = np.linalg.norm(self.v, axis=1), cosine
         self.earlier = _keys(self.v / self.norm[:, None], k, tables, width, table) if table else np.empty((len(self.v), 0), np.int64)
         order = np.argsort(self.ids, kind="stable")
@@ -172,7 +180,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, miss: float = 0.001)
     v = column("embedding")
     whole = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(column("vec_id").alias("vec_id"), F.when(F.coalesce(whole, F.lit(False)), v).alias("v"))
-    classes = pin(rows.filter("v is not null").groupBy("v").agg(F.count("*").alias("m"), F.min(F.coalesce("vec_id", F.lit(LAST_ID))).alias("c")).withColumn("id", F.when(F.col("c") == LAST_ID, F.pmod(F.xxhash64("v"), F.lit(1 << 40)) + F.lit(1 << 61)).otherwise(F.col("c"))).drop("c"))
+    # pinned, so that the numbers stay what they are
+    classes = pin(rows.filter("v is not null").groupBy("v").agg(F.count("*").alias("m"), F.min("vec_id").alias("own")).withColumn("id", F.monotonically_increasing_id()))
     k, tables, width = plan(classes.count(), cosine, miss)
     dealt = pin(classes.select("v", "id", "m").mapInArrow(_deal(k, tables, width), "t int, key long, id long, m long"))
     shared = pin(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"))
@@ -186,7 +195,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, miss: float = 0.001)
     met = pin(small.unionByName(large.groupBy("t", "key", "x", "y").applyInPandas(_tile(k, tables, width, cosine), LINKS)))
     counts = met.groupBy("a").agg(F.sum("links").alias("links"))
     roots = components(met.filter("b >= 0").select("a", "b"))
-    found = pin(classes.join(counts, classes["id"] == counts["a"], "left").join(roots, classes["id"] == roots["node"], "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")))
+    found = classes.join(counts, classes["id"] == counts["a"], "left").join(roots, classes["id"] == roots["node"], "left")
+    found = found.select("v", "own", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
+    named = found.groupBy("root").agg(F.min("own").alias("component_id"))
+    found = pin(found.join(named, "root").select("v", "n_links", "component_id", F.lit(True).alias("known")))
+    free(classes, dealt, shared, met)
     out = rows.join(found, "v", "left")
-    component = F.when(F.coalesce("component_id", F.lit(0)) < (1 << 61), F.coalesce("component_id", "vec_id"))
+    component = F.when(F.coalesce("known", F.lit(False)), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
