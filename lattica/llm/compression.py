@@ -6,23 +6,31 @@ the difference of the two lengths says which text it is more like.  A text's dif
 a few features, and a logistic curve fitted on rows kept apart from the dictionaries turns
 them into a calibrated score.
 
-Toxicity looks for passages: both dictionaries hold the trained ordinary text, and the toxic
-one also what is trained on the words of toxic texts whose beginnings are far rarer in ordinary ones.  So shared language
-costs the same in both, and what differs is toxic.  Quality looks at the whole: one dictionary
-from good and one from bad texts, and the differences' sum over the texts' length.
+Toxicity looks for passages.  Most of a toxic text is ordinary language, and a dictionary of whole
+texts would hold hardly anything else.  So the dictionaries are trained in rounds, by compression
+alone: the pair trained on one half of the toxic and ordinary texts measures the windows of the other
+half, and the next pair is trained on the windows that the toxic dictionary saves the most on, each
+cut down to the words that the saving comes from: toxic ones, and as hard negatives the ordinary ones
+that look most toxic.  Which saving counts is calibrated in each round so that a share of ``RATE`` of
+ordinary windows reaches it.  Beneath, both dictionaries hold the same trained ordinary text, so shared
+language costs the same in both.  A text's features are how many of its windows (of ``WORDS`` words)
+reach each saving, and the savings' mean and maximum.
+
+Quality looks at the whole: one dictionary from good and one from bad texts, and the difference
+of the compressed sizes, normalised by the text's length and by the compressed size.
 
 Learning takes at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of doc_id, whose
 texts have ``TRAIN_CHARS`` characters or fewer.  Scoring reads whole texts.
 
 Null and empty texts get the score of a text without any difference.  Labels other than 0
-and 1 are ignored; of repeated labels the largest counts.  Without rows of both labels, every
-score is the share of label 1, or 0.5.
+and 1 are ignored; of repeated labels the largest counts, and of texts that repeat a doc_id the
+least is learned from.  Rows that repeat a doc_id are scored each by its own text.  Without rows of
+both labels, every score is the share of label 1, or 0.5.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,29 +40,27 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import column, small_batches, texts
+from lattica.llm.common import column, texts
 
 TRAIN_ROWS, TRAIN_CHARS = 4_000, 20_000
-#: Trained bytes of ordinary text and of toxic text, and length of a quality window.
-ORDINARY, TOXIC, WINDOW_BYTES = 16_384, 8_192, 1_024
+#: Trained bytes of good or bad text, and length of a quality window.
+TRAINED, WINDOW_BYTES = 65_536, 1_024
 LEVEL = 6
 
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
+def _dictionary(samples: list[bytes], size: int, **given: int) -> bytes:
     """Trained with zstandard; where there is too little for its trainer, the samples themselves."""
     samples = [s for s in samples if len(s) >= 8]
     total = sum(map(len, samples))
-    if len(samples) >= 10 and total >= 8 * 1024:
+    if len(samples) >= 10 and total >= (size if given else 8 * 1024):
         try:
-            return zstandard.train_dictionary(min(size, max(1024, total // 4)), samples).as_bytes()
+            return zstandard.train_dictionary(min(size, max(1024, total // 4)), samples, **given).as_bytes()
         except zstandard.ZstdError:
             pass
     return b"".join(samples)[-size:]
 
 
-#: What words are stripped of.
-MARKS = ".,!?;:*&%$#|\"'()"
-#: Ends each window of a word.  Both dictionaries end with it, so a window is always stored
+#: Ends each window of words.  Both dictionaries end with it, so a window is always stored
 #: compressed, never raw, and each byte that a dictionary saves on the word counts.  It is also
 #: longer than the 8 bytes before a block's end in which the compressor looks for no match.
 PREAMBLE = b"=<window>=~preamble~=<#>=" * 2
@@ -95,17 +101,6 @@ def byte_windows(text: bytes, n: int = WINDOW_BYTES) -> list[bytes]:
     return [text[i : i + n] for i in range(0, len(text), n)]
 
 
-def units(text: bytes) -> set[str]:
-    """Words and beginnings of words, of 4 letters and more, with the space before them."""
-    out = set()
-    for w in set(text.decode("utf-8", "replace").lower().split()):
-        w = w.strip(MARKS)
-        if len(w) >= 4:
-            out.update(f" {w[:n]}" for n in range(4, min(len(w), 12)))
-            out.add(f" {w} ")
-    return out
-
-
 def apart_texts(found: list[bytes], shingle: int = 4) -> list[bytes]:
     """One text of each group of near copies (of equal least shingle hash, in any of three hashes),
     so that words of a text that was copied often don't pass for typical ones."""
@@ -120,84 +115,86 @@ def apart_texts(found: list[bytes], shingle: int = 4) -> list[bytes]:
     return out
 
 
-def telling(zero: list[bytes], one: list[bytes], least: float = 20.0, most: int = 400) -> list[str]:
-    """Units that far more texts of label 1 hold (by the likelihood ratio), the most telling first.
-
-    A unit that another one implies, at as high a ratio, is left out.
-    """
-    seen0, seen1 = (Counter(u for t in ts for u in units(t)) for ts in (zero, one))
-    n0, n1 = max(1, len(zero)), max(1, len(one))
-
-    def ratio(a: int, b: int) -> float:
-        p = (a + b) / (n1 + n0)
-        part = lambda k, n, q: k * math.log(max(k, 1e-9) / n / q) + (n - k) * math.log(max(n - k, 1e-9) / n / (1 - q)) if 0 < q < 1 else 0.0
-        return 2 * (part(a, n1, p) + part(b, n0, p))
-
-    found = {u: r for u, k in seen1.items() if k >= 4 and k / n1 > 4 * (seen0[u] + 0.5) / n0 and (r := ratio(k, seen0[u])) >= least}
-    out: list[str] = []
-    for u in sorted(found, key=lambda u: (-found[u], len(u), u)):
-        if not any(u.startswith(v) or v.startswith(u) for v in out):
-            out.append(u)
-    return out[:most]
-
-
 class Toxicity:
-    """Windows are words; a worker keeps the differences of the last ``KEPT`` distinct ones."""
-
-    KEPT = 500_000
+    #: Words of a window, when a text is scored and when the dictionaries are trained; rounds of training;
+    #: share of ordinary windows that may reach the saving that counts; bytes of either dictionary of its own,
+    #: and of the one that they share.
+    WORDS, MINED, ROUNDS, RATE, OWN, SHARED = 3, 2, 6, 0.001, 16_384, 4_096
+    RIDGE = 3.0
 
     def __init__(self, zero: list[bytes], one: list[bytes]):
         zero, one = apart_texts(zero), apart_texts(one)
-        ordinary = _dictionary([w for t in zero for w in word_windows(t, 16)], ORDINARY)
-        self.own = own = telling(zero, one)
-        toxic = b""
-        if own:
-            words = (w.strip(MARKS) for t in one for w in t.decode("utf-8", "replace").lower().split())
-            kept = ["".join(u for u in own if f" {w} ".startswith(u)) for w in words]
-            kept = [k for k in kept if k]
-            # what the trainer makes of the toxic units as they occur, then each unit once, the most telling last
-            toxic = _dictionary(["".join(kept[i : i + 16]).encode() for i in range(0, len(kept), 16)], TOXIC // 2)
-            toxic += "".join(reversed(own)).encode()[-TOXIC // 2 :] + b" "
-        self.pair = Pair(b"\0" * len(toxic) + ordinary + PREAMBLE, toxic + ordinary + PREAMBLE, zstandard.STRATEGY_LAZY, 128)
-        self._seen: dict[bytes, int] = {}
+        third = max(1, len(zero) // 3)
+        self.base = _dictionary([w for t in zero[:third] for w in word_windows(t, 16)], self.SHARED)
+        # each half is measured by the pair that was trained on the other
+        halves = [[[w for t in ts[k::2] for w in word_windows(t, self.MINED)] for k in (0, 1)] for ts in (zero[third:], one)]
+        ordinary, toxic = halves
+        mined0, mined1 = [x[: max(map(len, toxic))] for x in ordinary], toxic
+        for turn in range(self.ROUNDS):
+            pairs = [self._pair(*(self._own(mined[k], turn) for mined in (mined0, mined1))) for k in (1, 0)]
+            gain0, gain1 = ([self._gains(p, ws) for p, ws in zip(pairs, both, strict=True)] for both in halves)
+            mined0, mined1 = [], []
+            for k in (0, 1):
+                least = self._cut(gain0[k])
+                found = [w for w, g in zip(toxic[k], gain1[k], strict=True) if g >= least]
+                hard = np.argsort(-gain0[k], kind="stable")[: max(len(found), 200)]
+                mined1.append(self._trimmed(pairs[k], found))
+                mined0.append(self._trimmed(pairs[k], [ordinary[k][i] for i in hard]))
+        self.pair = self._pair(*(self._own([w for half in mined for w in half], self.ROUNDS) for mined in (mined0, mined1)))
 
     def __getstate__(self):
         return self.pair
 
     def __setstate__(self, pair):
-        self.pair, self._seen = pair, {}
+        self.pair = pair
+
+    def _own(self, windows: list[bytes], turn: int) -> bytes:
+        """What one dictionary holds of its own: of the first round's windows, or of passages cut down."""
+        if not turn:
+            return _dictionary(windows, self.OWN)
+        return _dictionary([b"".join(windows[i : i + 16]) for i in range(0, len(windows), 16)], self.OWN, k=24, d=6)
+
+    def _pair(self, zero: bytes, one: bytes) -> Pair:
+        size = max(len(zero), len(one))
+        return Pair(*(x.rjust(size, b"\0") + self.base + PREAMBLE for x in (zero, one)), zstandard.STRATEGY_LAZY, 256)
+
+    @staticmethod
+    def _gains(pair: Pair, windows: list[bytes]) -> np.ndarray:
+        lengths = pair.lengths
+        return np.array([a - b for a, b in (lengths(b"=<#>=" + w + PREAMBLE) for w in windows)], np.int64)
+
+    def _cut(self, gains: np.ndarray) -> int:
+        """The least saving that at most a share of RATE of ordinary windows reaches."""
+        return next(k for k in range(1, 1 << 20) if (gains >= k).sum() <= self.RATE * len(gains))
+
+    def _trimmed(self, pair: Pair, windows: list[bytes]) -> list[bytes]:
+        """Of each window the words that most of the saving comes from."""
+        out = []
+        for w in windows:
+            words = [b" %b " % x for x in w.split()]
+            gains = self._gains(pair, words)
+            out += [x for x, g in zip(words, gains, strict=False) if g >= max(2, 0.6 * gains.max())]
+        return out
 
     def features(self, text: bytes) -> list[float]:
-        seen, lengths, marks = self._seen, self.pair.lengths, MARKS.encode()
-        if len(seen) > self.KEPT:
-            seen.clear()
-        total = count = most = 0
-        for w in text.lower().split():
-            w = w.strip(marks)
-            gain = seen.get(w)
-            if gain is None:
-                # a long run without spaces is cut, each piece being a window
-                pieces = [w[i : i + 64] for i in range(0, len(w), 64)]
-                gain = max((a - b for a, b in (lengths(b"=<#>= " + x + b" " + PREAMBLE) for x in pieces)), default=0)
-                if len(w) <= 64:
-                    seen[w] = gain
-            if gain > 0:
-                total += gain
-                count += 1
-                most = max(most, gain)
-        return [math.log1p(total), math.log1p(count), math.log1p(most), math.log1p(1000 * total / max(1, len(text)))]
+        # a long run without spaces is cut, each piece being a window
+        windows = [w[i : i + 256] for w in word_windows(text, self.WORDS) for i in range(0, len(w), 256)]
+        gains = self._gains(self.pair, windows) if windows else np.zeros(1, np.int64)
+        reach = len(gains) - np.searchsorted(np.sort(gains), np.arange(1, 13))
+        return [*np.log1p(reach), math.log1p(len(gains)), float(gains.mean()), float(gains.max())]
 
 
 class Quality:
+    RIDGE = 1.0
+
     def __init__(self, zero: list[bytes], one: list[bytes]):
-        self.pair = Pair(*(_dictionary([w for t in ts for w in byte_windows(t, 512)], 4 * ORDINARY) for ts in (zero, one)), zstandard.STRATEGY_DFAST, WINDOW_BYTES)
+        self.pair = Pair(*(_dictionary([w for t in ts for w in byte_windows(t, 512)], TRAINED) for ts in (zero, one)), zstandard.STRATEGY_DFAST, WINDOW_BYTES)
 
     def features(self, text: bytes) -> list[float]:
-        made = [self.pair.lengths(w) for w in byte_windows(text)]
-        gain = [a - b for a, b in made]
-        n = max(1, len(text))
-        size = sum(min(x) for x in made) / n  # repeated words compress well under either
-        return [100 * sum(gain) / n, 100 * min(gain, default=0) / WINDOW_BYTES, 100 * max(gain, default=0) / WINDOW_BYTES, math.log1p(n), size, math.log(max(size, 0.01))]
+        made = [(a, b, len(w)) for w in byte_windows(text) for a, b in (self.pair.lengths(w),)] or [(1, 1, 1)]
+        a, b, n = (np.array(x, float) for x in zip(*made, strict=True))
+        by_length, by_size = (a - b) / n, (a - b) / np.minimum(a, b)
+        return [100 * float(x) for x in ((a - b).sum() / n.sum(), (a - b).sum() / np.minimum(a, b).sum(), by_length.min(), by_length.max(), by_size.min(), by_size.max())]
 
 
 class Model:
@@ -232,7 +229,6 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, kind: type, train_rows: int = TRAIN_ROWS) -> Model:
     """Learns label ``label`` from rows of ``docs`` and ``labels`` whose doc_id ``allowed`` admits."""
     spark = docs.sparkSession
-    small_batches(spark)
     value = column(label).cast("int")
     marked = labels.select(column("doc_id").alias("doc_id"), value.alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     marked = marked.filter(allowed).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -241,18 +237,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, kind: t
     chosen = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 24)) < share * (1 << 24))
     body = docs.select(column("doc_id").alias("doc_id"), column("text").alias("text")).filter(F.length("text") <= TRAIN_CHARS)
     # chosen is bounded by train_rows, so it is what is broadcast
-    got = body.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    got = body.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toArrow().sort_by("doc_id")
     y, body = got.column("y").to_numpy(), texts(got.column("text"))
     prior = math.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5))
     # rows alternate between the dictionaries and the curve, so that neither sees the other's
     order = np.random.default_rng(5).permutation(len(y))
-    own, apart = order[: len(y) * 3 // 5], order[len(y) * 3 // 5 :]
+    own, apart = order[: len(y) * 2 // 3], order[len(y) * 2 // 3 :]
     if len(set(y[own])) < 2 or len(set(y[apart])) < 2:
         return Model(None, np.zeros(1), np.ones(1), np.array([prior]))
     made = kind([body[i] for i in own if y[i] == 0], [body[i] for i in own if y[i] == 1])
     x = np.array([made.features(body[i]) for i in apart])
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    w = logistic((x - mean) / scale, y[apart].astype(float))
+    w = logistic((x - mean) / scale, y[apart].astype(float), kind.RIDGE)
     # the sample has other shares of the labels than the corpus: move the constant back
     w[0] += prior - math.log(max(1, (y[apart] == 1).sum()) / max(1, (y[apart] == 0).sum()))
     return Model(made, mean, scale, w)
@@ -260,7 +256,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, kind: t
 
 def score(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     """doc_id, score and predicted of each row."""
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +268,6 @@ def score(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
 
 def keep_ordinary(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns and order of columns."""
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
