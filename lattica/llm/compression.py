@@ -16,8 +16,9 @@ ordinary windows reaches it.  Beneath, both dictionaries hold the same trained o
 language costs the same in both.  A text's features are how many of its windows (of ``WORDS`` words)
 reach each saving, and the savings' mean and maximum.
 
-Quality looks at the whole: one dictionary from good and one from bad texts, and the difference
-of the compressed sizes, normalised by the text's length and by the compressed size.
+Quality looks at the whole: one dictionary from good and one from bad texts, and the differences
+of the compressed sizes of all windows, normalised by the windows' lengths and by their compressed sizes:
+their means, and how they are spread over the text.
 
 Learning takes at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of doc_id, whose
 texts have ``TRAIN_CHARS`` characters or fewer.  Scoring reads whole texts.
@@ -43,8 +44,8 @@ from pyspark.sql import functions as F
 from lattica.llm.common import column, texts
 
 TRAIN_ROWS, TRAIN_CHARS = 4_000, 20_000
-#: Trained bytes of good or bad text, and length of a quality window.
-TRAINED, WINDOW_BYTES = 65_536, 1_024
+#: Trained bytes of good or bad text.
+TRAINED = 65_536
 LEVEL = 6
 
 
@@ -97,7 +98,7 @@ def word_windows(text: bytes, n: int) -> list[bytes]:
     return [b" %b " % b" ".join(words[i : i + n]) for i in range(0, len(words), n)]
 
 
-def byte_windows(text: bytes, n: int = WINDOW_BYTES) -> list[bytes]:
+def byte_windows(text: bytes, n: int) -> list[bytes]:
     return [text[i : i + n] for i in range(0, len(text), n)]
 
 
@@ -185,16 +186,27 @@ class Toxicity:
 
 
 class Quality:
+    """Windows of two lengths, whole passages and lines, each with a pair of dictionaries of its own."""
+
     RIDGE = 1.0
+    #: Bytes of a window, and of the samples that its dictionaries are trained on.
+    SCALES = ((1_024, 512), (128, 128))
+    #: Normalised differences that shares of the short windows are counted below.
+    STEPS = (-0.5, -0.3, -0.2, -0.1, -0.05, 0.0, 0.05, 0.1, 0.2, 0.3)
 
     def __init__(self, zero: list[bytes], one: list[bytes]):
-        self.pair = Pair(*(_dictionary([w for t in ts for w in byte_windows(t, 512)], TRAINED) for ts in (zero, one)), zstandard.STRATEGY_DFAST, WINDOW_BYTES)
+        self.pairs = [Pair(*(_dictionary([w for t in ts for w in byte_windows(t, sample)], TRAINED) for ts in (zero, one)), zstandard.STRATEGY_DFAST, size) for size, sample in self.SCALES]
 
     def features(self, text: bytes) -> list[float]:
-        made = [(a, b, len(w)) for w in byte_windows(text) for a, b in (self.pair.lengths(w),)] or [(1, 1, 1)]
-        a, b, n = (np.array(x, float) for x in zip(*made, strict=True))
-        by_length, by_size = (a - b) / n, (a - b) / np.minimum(a, b)
-        return [100 * float(x) for x in ((a - b).sum() / n.sum(), (a - b).sum() / np.minimum(a, b).sum(), by_length.min(), by_length.max(), by_size.min(), by_size.max())]
+        out: list[float] = []
+        for (size, _), pair in zip(self.SCALES, self.pairs, strict=True):
+            made = [(*pair.lengths(w), len(w)) for w in byte_windows(text, size)] or [(1, 1, 1)]
+            a, b, n = (np.array(x, float) for x in zip(*made, strict=True))
+            least = np.minimum(a, b)
+            out += [100 * (a - b).sum() / n.sum(), 100 * (a - b).sum() / least.sum()]
+            for each in ((a - b) / n, (a - b) / least):
+                out += [100 * x for x in (each.min(), each.max(), *np.quantile(each, (0.1, 0.5, 0.9)), each.std())]
+        return [float(x) for x in (*out, *(each[:, None] < np.array(self.STEPS)).mean(axis=0))]
 
 
 class Model:
