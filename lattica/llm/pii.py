@@ -70,7 +70,10 @@ IP6 = rf"(?<!:)(?:(?:{HEX}:){{7}}{HEX}|(?=[A-Fa-f:]*\d)(?:{HEX}:){{1,6}}(?::{HEX
 PHONE = r"(?<!\d[.+-])(?:\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){1,4}[ .-]?\d{3,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4})(?![.-]?\d)"
 CARD = r"(?:\d{4}([ -]?)\d{4}\2\d{4}\2\d{4}|3[47]\d\d[ -]?\d{6}[ -]?\d{5})(?![\dA-Fa-f])"
 SSN = r"(?<!\d-)\d{3}-\d{2}-\d{4}(?![\d-])"
-IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+# Codes of the countries that have IBANs.
+COUNTRIES = """AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW
+KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK""".split()
+IBAN = rf"(?:{'|'.join(COUNTRIES)})\d\d(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])"
 HEXED = r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])"
 PREFIX = r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|sk-|xox[abprs]-|AIza|eyJ)"
 KEYED = r"(?:(?:AKIA|ASIA)[0-9A-Z]{16,}+|(?:gh[pousr]_|github_pat_)\w{20,}+|sk-[\w-]{20,}+|xox[abprs]-[\w-]{10,}+|AIza[\w-]{30,}+|eyJ[\w-]+\.[\w-]+\.[\w-]*+)"
