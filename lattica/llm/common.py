@@ -17,21 +17,12 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Sorts a null document id behind every other one.
 LAST_ID = (1 << 63) - 1
-#: Rows of an Arrow batch: bounds a Python worker's memory when texts are long.
-BATCH_ROWS = 500
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Cuts Arrow batches so that a batch of long texts fits a worker; keeps a lower setting."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a folder of our own only where that is unset, and only on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

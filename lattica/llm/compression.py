@@ -221,7 +221,8 @@ class Model:
         if self.kind is None:
             return np.full(len(batch), 1 / (1 + math.exp(-self.weights[0])))
         x = np.array([self.kind.features(t) for t in batch])
-        return 1 / (1 + np.exp(-(((x - self.mean) / self.scale) @ self.weights[1:] + self.weights[0])))
+        # summed row by row, so that a score doesn't depend on the batch
+        return 1 / (1 + np.exp(-((((x - self.mean) / self.scale) * self.weights[1:]).sum(axis=1) + self.weights[0])))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

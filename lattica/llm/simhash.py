@@ -10,18 +10,21 @@ skip that splitting costs more than it saves becomes a leaf.  Leaves over ``TILE
 cut into tiles, and each pair of tiles is a task row group of bounded size.  A leaf reports a
 spanning forest of its links, not the links, so a group of m copies yields under m rows.
 
-``similarity`` s, for near-duplicates by the Jaccard similarity of their sets of shingles: a
-shingle that repeats counts once, in the fingerprint too; sets
-of similarity s have sizes within the factor s, so only neighbouring bands of sizes are compared,
-and fingerprints only select candidates.  A class is then one set of shingles, and classes link
-only if their sets (of 64-bit hashes), compared within each component of the candidates, have
-the similarity.  Large components are cut into tiles like leaves.  ``words`` over 1 gives
-fingerprints of 64 * words bits; then the first 64 bits only select candidates.
+``near_sets``, for near-duplicates by the Jaccard similarity of their sets of shingles: a shingle
+that repeats counts once, in the fingerprint too, and a class is one set of shingles.  Fingerprints
+of 64 * ``WORDS`` bits of sets of similarity 0.8 differ by some 15 % of their bits, against half for unrelated ones; no
+vantage point prunes at such a radius over a whole corpus.  So classes are dealt to shards first, by
+``BANDS`` keys of ``ROWS`` least hashes of the set each, of which two sets of similarity s share none with
+probability (1 - s ** ROWS) ** BANDS, 0.2 % at 0.8.  Trees are built within shards, where
+fingerprints are clustered; shards beyond ``TILE`` members are cut into tiles whose pairs are queried
+apart.  Fingerprints select candidates only, within five standard deviations over what the similarity
+makes: classes link only if their sets (of 64-bit hashes), compared within each component of the
+candidates, have the similarity.  Large components are cut into tiles too.
 
 Null or empty texts have the fingerprint zero and are linked like any other.  Texts of fewer
-words than a shingle are one shingle.  Null ids are never representatives if there is another;
-ids within 2**56 of the largest long are taken for null ones.  Rows that repeat a doc_id are
-each compared by their own text; of several classes with one smallest id, one goes by that id.
+words than a shingle are one shingle.  Classes have numbers of their own, so any id may be null or
+repeat: rows that repeat a doc_id are each compared by their own text, and a component goes by the
+smallest doc_id among its rows, null if all are null.
 """
 
 from __future__ import annotations
@@ -36,17 +39,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import LAST_ID, bitmap, column, components, in_bitmap, mix, pin, row_key, slices, small_batches, texts
+from lattica.llm.common import bitmap, column, components, free, in_bitmap, mix, pin, row_key, slices, texts
 
 SEED = 42
 #: Fingerprints that the driver builds the tree's upper part from, and members of a leaf aimed at.
 SAMPLE, LEAF, TILE = 32_768, 2_048, 4_096
 #: Sets, and shingles in them, of a tile of a component; bins that share the small components.
 SETS, SHINGLES, BINS = 1_024, 1 << 20, 64
+#: Words of a fingerprint of near_sets; shards' keys, and least hashes in each.
+WORDS, BANDS, ROWS = 4, 16, 5
+#: Shards of up to this many classes are compared many to a group; larger ones by trees with such leaves.
+SMALL = 128
 #: A node is split only if under this share of queries would go both ways.
 OVERLAP = 0.7
-#: Ids that stand for classes without an id of their own: the last NAMELESS longs.
-NAMELESS = 1 << 56
 
 
 def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -79,17 +84,35 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+_ODD = np.random.default_rng(13).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """Keys of the shards of a set of shingles, by its least hashes under several permutations."""
+    if not len(hashes):
+        return [0] * BANDS
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 4_096):
+        np.minimum(least, (hashes[i : i + 4_096][None, :] * _ODD[:, None]).min(axis=1), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = mix(key ^ row)
+    return key.view(np.int64).tolist()
+
+
 def _fingerprints(shingle: int, words: int, sets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = (_shingle_hashes(t, shingle) for t in texts(batch.column("text")))
-            made = [(len(h), xxhash.xxh64_intdigest(h.tobytes(), SEED) if sets else 0, fingerprint(h, words)) for h in (np.unique(h) if sets else h for h in hashes)]
-            cols = [pa.array([_signed(f[k]) for *_, f in made], pa.int64()) for k in range(words)]
-            own = [pa.array([_signed(s) for _, s, _ in made], pa.int64())] if sets else []
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("rk"), pa.array([n for n, *_ in made], pa.int64()), *own, *cols],
-                names=["doc_id", "rk", "n", *(["own_set"] if sets else []), *(f"f{k}" for k in range(words))],
-            )
+            hashes = [_shingle_hashes(t, shingle) for t in texts(batch.column("text"))]
+            hashes = [np.unique(h) for h in hashes] if sets else hashes
+            made = [fingerprint(h, words) for h in hashes]
+            cols = {"doc_id": batch.column("doc_id"), "rk": batch.column("rk"), "n": pa.array([len(h) for h in hashes], pa.int64())}
+            if sets:
+                cols["own_set"] = pa.array([_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in hashes], pa.int64())
+                keys = [band_keys(h) for h in hashes]
+                cols |= {f"b{k}": pa.array([x[k] for x in keys], pa.int64()) for k in range(BANDS)}
+            cols |= {f"f{k}": pa.array([_signed(f[k]) for f in made], pa.int64()) for k in range(words)}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return run
 
@@ -97,17 +120,22 @@ def _fingerprints(shingle: int, words: int, sets: bool):
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, sets: bool = False) -> DataFrame:
     """doc_id, rk (the row's key), n (shingles) and f0.. (the fingerprint, as signed longs) of each row.
 
-    With ``sets`` each shingle counts once, and own_set is a hash of the set.
+    With ``sets`` each shingle counts once, own_set is a hash of the set, and b0.. are its shards' keys.
     """
-    small_batches(docs.sparkSession)
-    schema = f"doc_id long, rk long, n long, {'own_set long, ' if sets else ''}" + ", ".join(f"f{k} long" for k in range(words))
+    names = ["doc_id", "rk", "n", *(["own_set", *(f"b{k}" for k in range(BANDS))] if sets else []), *(f"f{k}" for k in range(words))]
     doc_id, text = column("doc_id"), column("text")
-    return docs.select(doc_id.alias("doc_id"), text.alias("text"), row_key(doc_id, text).alias("rk")).mapInArrow(_fingerprints(shingle, words, sets), schema)
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), row_key(doc_id, text).alias("rk")).mapInArrow(_fingerprints(shingle, words, sets), ", ".join(f"{n} long" for n in names))
 
 
 # ---- the tree -------------------------------------------------------------------------
 
 
+def distance(points: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Bits by which fingerprints, of one word or a row of several, differ from ``v``."""
+    bits = np.bitwise_count(points ^ v).astype(np.int64)
+    return bits if bits.ndim == 1 else bits.sum(axis=1)
+
+
 def grow(points: np.ndarray, radius: int, leaf: int) -> list[tuple]:
     """Nodes (vantage point, mu, inner child, outer child); a leaf is a negative child, -1 - its number.
 
@@ -121,7 +149,7 @@ def grow(points: np.ndarray, radius: int, leaf: int) -> list[tuple]:
         if len(own) > leaf:
             best = None
             for v in own[rng.integers(0, len(own), 4)]:  # of a few vantage points, the one that spreads most
-                d = np.bitwise_count(own ^ v).astype(np.int64)
+                d = distance(own, v)
                 mu = int(np.median(d))
                 inner = d <= mu
                 both = float((np.abs(d - mu - 0.5) <= radius + 0.5).mean())
@@ -151,7 +179,7 @@ def route(nodes: list[tuple], points: np.ndarray, radius: int) -> tuple[np.ndarr
             out.append((own, np.full(len(own), -1 - node), home))
             continue
         v, mu, inner, outer = nodes[node]
-        d = np.bitwise_count(points[own] ^ v).astype(np.int64)
+        d = distance(points[own], v)
         into = d <= mu + radius
         todo.append((inner, own[into], (home & (d <= mu))[into]))
         into = d > mu - radius
@@ -176,27 +204,77 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = Non
     return labels
 
 
-def _compare(words: int, radius: int, wide_radius: int):
+def _compare(radius: int):
+    """Members and queries of one leaf of the corpus's tree, or of a tile of it."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable").drop_duplicates(["id", "home"])
         ids, code = np.unique(group["id"].to_numpy(), return_inverse=True)
-        f = [group[f"f{k}"].to_numpy().view(np.uint64) for k in range(words)]
+        f = group["f0"].to_numpy().view(np.uint64)
         home = group["home"].to_numpy()
         mine, asks = np.flatnonzero(home), np.flatnonzero(~home)
         labels = np.arange(len(ids))
-        m0 = f[0][mine]
         step = max(1, (1 << 21) // max(1, len(mine)))
         for i in range(0, len(asks), step):
             q = asks[i : i + step]
-            near = np.bitwise_count(f[0][q][:, None] ^ m0[None, :]) <= radius
-            a, b = np.nonzero(near)
-            a, b = q[a], mine[b]
-            keep = code[a] != code[b]
-            a, b = a[keep], b[keep]
-            if words > 1 and len(a):
-                d = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in f)
-                a, b = a[d <= wide_radius], b[d <= wide_radius]
-            labels = forest(len(ids), code[a], code[b], labels)
+            near = np.bitwise_count(f[q][:, None] ^ f[mine][None, :]) <= radius
+            a, b = np.nonzero(near & (labels[code[q]][:, None] != labels[code[mine]][None, :]))
+            labels = forest(len(ids), code[q[a]], code[mine[b]], labels)
+        found = np.flatnonzero(labels != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[found], "b": ids[labels[found]]})
+
+    return run
+
+
+def _prints(group: pd.DataFrame) -> np.ndarray:
+    return np.stack([group[f"f{k}"].to_numpy().view(np.uint64) for k in range(WORDS)], axis=1)
+
+
+def alike(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of such sizes can have the similarity."""
+    return np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
+
+
+def _shards(radius: int, similarity: float):
+    """Links of candidates in a group of whole small shards."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["key", "id"], kind="stable")
+        ids, code = np.unique(group["id"].to_numpy(), return_inverse=True)
+        key, n, f = group["key"].to_numpy(), group["n"].to_numpy(), _prints(group)
+        labels, step, a = np.arange(len(ids)), 1, np.arange(len(key))
+        while len(a := a[a + step < len(key)]) and len(a := a[key[a] == key[a + step]]):
+            b = a + step
+            near = (distance(f[a], f[b]) <= radius) & alike(n[a], n[b], similarity)
+            labels = forest(len(ids), code[a[near]], code[b[near]], labels)
+            step += 1
+        found = np.flatnonzero(labels != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[found], "b": ids[labels[found]]})
+
+    return run
+
+
+def _shard_tiles(radius: int, similarity: float):
+    """Links of candidates of one tile of a large shard, or across two, found by a tree over the first."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", kind="stable").reset_index(drop=True)
+        ids, n, f = group["id"].to_numpy(), group["n"].to_numpy(), _prints(group)
+        side = group["side"].to_numpy()  # 0: one tile with itself, 1: left, 2: right
+        mine, asks = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
+        labels, nodes = np.arange(len(ids)), grow(f[mine], radius, SMALL)
+        own, own_leaf, home = route(nodes, f[mine], radius)
+        ask, ask_leaf, _ = route(nodes, f[asks], radius)
+        own, own_leaf = own[home], own_leaf[home]
+        for leaf in np.unique(own_leaf):
+            m, qs = mine[own[own_leaf == leaf]], asks[ask[ask_leaf == leaf]]
+            step = max(1, (1 << 19) // len(m))
+            for i in range(0, len(qs), step):
+                q = qs[i : i + step]
+                bits = sum(np.bitwise_count(f[q, k][:, None] ^ f[m, k][None, :]).astype(np.int16) for k in range(WORDS))
+                near = (bits <= radius) & alike(n[q][:, None], n[m][None, :], similarity)
+                a, b = np.nonzero(near & (labels[q][:, None] != labels[m][None, :]))
+                labels = forest(len(ids), q[a], m[b], labels)
         found = np.flatnonzero(labels != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[found], "b": ids[labels[found]]})
 
@@ -206,10 +284,11 @@ def _compare(words: int, radius: int, wide_radius: int):
 # ---- exact similarity -----------------------------------------------------------------
 
 
-def similar(sets: list[np.ndarray], tile: np.ndarray, similarity: float) -> np.ndarray:
+def similar(sets: list[np.ndarray], tile: np.ndarray, similarity: float, prints: np.ndarray | None = None, radius: int = 0) -> np.ndarray:
     """Labels of ``sets`` (sorted, distinct) after joining those that have the Jaccard similarity.
 
-    Of two tiles, only pairs of one set from each are compared; pairs joined already are not.
+    Of two tiles, only pairs of one set from each are compared; pairs joined already are not, nor those
+    whose fingerprints, if given, differ by more than ``radius``.
     """
     n = np.array([len(x) for x in sets])
     labels = np.arange(len(sets))
@@ -219,7 +298,8 @@ def similar(sets: list[np.ndarray], tile: np.ndarray, similarity: float) -> np.n
 
     def differ(q: int) -> np.ndarray:
         may = (tile != tile[q]) if cross else np.arange(len(sets)) < q
-        return np.flatnonzero(may & (labels != labels[q]) & (np.minimum(n, n[q]) >= similarity * np.maximum(n, n[q]) - 1e-9))
+        left = np.flatnonzero(may & (labels != labels[q]) & alike(n, n[q], similarity))
+        return left if prints is None or not len(left) else left[distance(prints[left], prints[q]) <= radius]
 
     for q in np.flatnonzero(tile == tile.min()):
         left = differ(q)
@@ -230,6 +310,10 @@ def similar(sets: list[np.ndarray], tile: np.ndarray, similarity: float) -> np.n
         left = differ(q)
         if not len(left):
             continue
+        if len(left) <= 8:
+            a = [b for b in left if enough(len(np.intersect1d(sets[q], sets[b], assume_unique=True)), n[q], n[b])]
+            labels = forest(len(sets), np.full(len(a), q), np.array(a, np.int64), labels)
+            continue
         if codes is None:  # for each shingle, the sets that hold it
             every, inverse = np.unique(np.concatenate(sets), return_inverse=True)
             docs = np.repeat(np.arange(len(sets)), n)[np.argsort(inverse, kind="stable")]
@@ -243,13 +327,13 @@ def similar(sets: list[np.ndarray], tile: np.ndarray, similarity: float) -> np.n
     return labels
 
 
-def _confirm(similarity: float):
+def _confirm(similarity: float, radius: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
         for _, part in group.groupby("root"):
             part = part.sort_values("id", kind="stable")
             ids = part["id"].to_numpy()
-            labels = similar([np.asarray(x).view(np.uint64) for x in part["shingles"]], part["tile"].to_numpy(), similarity)
+            labels = similar([np.asarray(x).view(np.uint64) for x in part["shingles"]], part["tile"].to_numpy(), similarity, _prints(part), radius)
             found = np.flatnonzero(labels != np.arange(len(ids)))
             a.append(ids[found])
             b.append(ids[labels[found]])
@@ -269,11 +353,12 @@ def _sets(bits: np.ndarray, shingle: int):
     return run
 
 
-def confirmed(docs: DataFrame, members: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def confirmed(docs: DataFrame, members: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
     """Links (a, b) of classes in one component whose sets of shingles have the similarity, as a spanning forest of each tile pair.
 
-    members: id and root of a class, n, and d and rk of one row of it.
+    members: id and root of a class, its fingerprint, n, and d and rk of one row of it.
     """
+    names = [f"f{k}" for k in range(WORDS)]
     members = pin(members)
     n = members.count()
     bits = bitmap(members, "rk", n)
@@ -284,31 +369,31 @@ def confirmed(docs: DataFrame, members: DataFrame, shingle: int, similarity: flo
     bins = max(BINS, (members.agg(F.sum("n")).first()[0] or 0) // SHINGLES)
     small = F.col("t") <= 1
     tile = F.pmod(F.xxhash64("id", F.lit(3)), F.col("t")).cast("int")
-    placed = pin(members.join(sizes, "root").select("id", "root", "d", "rk", small.alias("small"), "t", tile.alias("tile"), F.when(small, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("g")))
+    placed = pin(members.join(sizes, "root").select("id", "root", "d", "rk", *names, small.alias("small"), "t", tile.alias("tile"), F.when(small, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("g")))
     placed = placed.join(sets, ["d", "rk"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    placed = placed.select("id", "root", "small", "g", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "shingles")
-    return placed.groupBy("small", "g", "low", "high").applyInPandas(_confirm(similarity), "a long, b long")
+    placed = placed.select("id", "root", *names, "small", "g", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "shingles")
+    return placed.groupBy("small", "g", "low", "high").applyInPandas(_confirm(similarity, radius), "a long, b long")
 
 
-def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, wide_radius: int = 0, similarity: float = 0.0) -> DataFrame:
+def _grouped(rows: DataFrame, classes: DataFrame, key: list[str], joined: DataFrame) -> DataFrame:
+    """The rows with their components: doc_id, component_id, rk, root and head, and the key's columns."""
+    roots = classes.join(joined, classes["id"] == joined["node"], "left").select(*key, "own", F.coalesce("root", "id").alias("root"))
+    named = roots.groupBy("root").agg(F.min("own").alias("component_id"))
+    roots = pin(roots.join(named, "root").select(*key, "root", "component_id"))
+    free(classes)
+    head = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return rows.join(roots, key).withColumn("head", head)
+
+
+def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (hex), component_id, rk (the row's key), root and head of each row.
 
-    root tells components apart; head is true for the rows of the component's smallest id.
-    Classes link at ``radius`` or fewer differing bits among the first 64; with ``words`` over 1
-    also at ``wide_radius`` or fewer of all bits; with ``similarity``, if their sets of shingles have it too.
+    root tells components apart; head is true for the component's rows of its smallest id.
+    Classes link at ``radius`` or fewer differing bits.
     """
-    spark = docs.sparkSession
-    names = [f"f{k}" for k in range(words)]
-    rows = pin(fingerprints(docs, shingle, words, similarity > 0))
-    key = [*names, "band", *(["own_set", "n"] if similarity else [])]
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / math.log(1 / similarity)).cast("int") if similarity else F.lit(0)
-    rows = rows.withColumn("band", band)
-    nameless = F.lit(LAST_ID) - F.pmod(F.xxhash64(*key), F.lit(NAMELESS))
-    rows = rows.withColumn("node", F.coalesce("doc_id", nameless))
-    owned = pin(rows.groupBy(*key).agg(F.min("node").alias("own")))
-    shared = pin(owned.groupBy("own").agg(F.min(F.struct(*key)).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    other = F.col("first").isNotNull() & (F.col("first") != F.struct(*key))
-    classes = pin(owned.join(shared, "own", "left").select(*key, "own", F.when(other, nameless).otherwise(F.col("own")).alias("id")))
+    rows = pin(fingerprints(docs, shingle))
+    # pinned, so that the numbers stay what they are
+    classes = pin(rows.groupBy("f0").agg(F.min("doc_id").alias("own")).withColumn("id", F.monotonically_increasing_id()))
     total = classes.count()
     leaves = max(1.0, total / LEAF)
     share = min(1.0, SAMPLE / max(1, total))
@@ -318,27 +403,20 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int =
     tree = grow(np.unique(points), radius, max(8, int(len(points) / leaves)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["f0", "id", "leaf", "home"]
         for batch in batches:
             own, leaf, home = route(tree, batch.column("f0").to_numpy().view(np.uint64), radius)
-            band = batch.column("band").to_numpy()[own]
             part = batch.take(pa.array(own))
-            take = [part.column(k) for k in (*names, "id")]
-            # a class is asked for in its own band and in the next, so each pair of bands meets once
-            for up in (0, 1) if similarity else (0,):
-                yield pa.RecordBatch.from_arrays([*take, pa.array((band + up).astype(np.int32)), pa.array(leaf.astype(np.int32)), pa.array(np.zeros(len(own), bool))], names=[*names, "id", "band", "leaf", "home"])
-            h = pa.array(home)
-            yield pa.RecordBatch.from_arrays([*(x.filter(h) for x in take), pa.array(band[home].astype(np.int32)), pa.array(leaf[home].astype(np.int32)), pa.array(np.ones(int(home.sum()), bool))], names=[*names, "id", "band", "leaf", "home"])
-
-    schema = ", ".join(f"{k} long" for k in names) + ", id long, band int, leaf int, home boolean"
-    # a set has another one of the similarity only if one shingle more leaves it so similar
-    some = classes.filter(F.col("n") >= similarity * (F.col("n") + 1) - 1e-9) if similarity else classes
-    dealt = some.select(*names, "id", "band").mapInArrow(deal, schema)
-    sizes = dealt.groupBy("band", "leaf").agg(F.sum(F.col("home").cast("int")).alias("m"), F.sum((~F.col("home")).cast("int")).alias("q"))
+            take, leaf, h = [part.column(k) for k in ("f0", "id")], pa.array(leaf.astype(np.int32)), pa.array(home)
+            yield pa.RecordBatch.from_arrays([*take, leaf, pa.array(np.zeros(len(own), bool))], names=names)
+            yield pa.RecordBatch.from_arrays([*(x.filter(h) for x in (*take, leaf)), pa.array(np.ones(int(home.sum()), bool))], names=names)
+
+    dealt = classes.select("f0", "id").mapInArrow(deal, "f0 long, id long, leaf int, home boolean")
+    sizes = dealt.groupBy("leaf").agg(F.sum(F.col("home").cast("int")).alias("m"), F.sum((~F.col("home")).cast("int")).alias("q"))
     # tiles of members and of queries: a task row group has at most about 2 * TILE members and 16 * TILE queries
-    tiles = pin(sizes.filter("m > 0 and m + q > 1").select("band", "leaf", F.ceil(F.col("m") / TILE).cast("int").alias("tm"), F.ceil(F.col("q") / (8 * TILE)).cast("int").alias("tq")))
+    tiles = pin(sizes.filter("m > 0 and m + q > 1").select("leaf", F.ceil(F.col("m") / TILE).cast("int").alias("tm"), F.ceil(F.col("q") / (8 * TILE)).cast("int").alias("tq")))
     spread = F.xxhash64("id", F.lit(2))
-    placed = dealt.join(tiles, ["band", "leaf"])
-    placed = placed.withColumn(
+    placed = dealt.join(tiles, "leaf").withColumn(
         "task",
         F.explode(
             F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("tq") - 1), lambda t: F.pmod(spread, F.col("tm")).cast("int") * F.col("tq") + t)).otherwise(
@@ -346,16 +424,40 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int =
             )
         ),
     )
-    edges = placed.select(*names, "id", "home", "band", "leaf", "task").groupBy("band", "leaf", "task").applyInPandas(_compare(words, radius, wide_radius), "a long, b long")
-    joined = components(edges)
-    if similarity:
-        maybe = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
-        maybe = classes.join(maybe, classes["id"] == maybe["node"]).select(*key, "id", "root")
-        one = F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("d"), "rk")).alias("one")
-        members = rows.join(maybe, key).groupBy("id", "root", "n").agg(one).select("id", "root", "n", "one.d", "one.rk")
-        joined = components(confirmed(docs, members, shingle, similarity))
-    roots = pin(classes.join(joined, classes["id"] == joined["node"], "left").select(*key, "own", "id", F.coalesce("root", "id").alias("root")))
-    hexed = F.concat(*(F.lpad(F.lower(F.hex(k)), 16, "0") for k in names))
-    shown = F.coalesce(*(F.when(F.col(c) <= LAST_ID - NAMELESS, F.col(c)) for c in ("root", "own")))
-    head = (F.col("node") == F.col("own")) & (F.col("id") == F.col("root"))
-    return rows.join(roots, key).select("doc_id", hexed.alias("fingerprint"), shown.alias("component_id"), "rk", "root", head.alias("head"))
+    edges = placed.select("f0", "id", "home", "leaf", "task").groupBy("leaf", "task").applyInPandas(_compare(radius), "a long, b long")
+    out = _grouped(rows, classes, ["f0"], components(edges))
+    free(tiles)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id", "rk", "root", "head")
+
+
+def near_radius(similarity: float) -> int:
+    """Bits by which fingerprints of sets of the similarity may differ: five standard deviations over the mean."""
+    share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * WORDS
+    return math.ceil(bits * share + 5 * math.sqrt(bits * share * (1 - share)))
+
+
+def near_sets(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id, rk (the row's key), root and head of each row, linked by their sets of shingles."""
+    names, shards, radius = [f"f{k}" for k in range(WORDS)], [f"b{k}" for k in range(BANDS)], near_radius(similarity)
+    rows = pin(fingerprints(docs, shingle, WORDS, True))
+    key = [*names, "own_set", "n"]
+    classes = pin(rows.groupBy(*key).agg(F.min("doc_id").alias("own"), *(F.max(b).alias(b) for b in shards)).withColumn("id", F.monotonically_increasing_id()))
+    # a set has another one of the similarity only if one shingle more leaves it so similar
+    some = classes.filter(F.col("n") >= similarity * (F.col("n") + 1) - 1e-9)
+    dealt = some.select("id", F.explode(F.array(*shards)).alias("key"))
+    sizes = pin(dealt.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
+    met = pin(dealt.join(sizes, "key").join(some.select("id", "n", *names), "id"))
+    groups = max(1, met.count() // 4_096)
+    small = met.filter(F.col("m") <= SMALL).withColumn("g", F.pmod("key", F.lit(groups))).groupBy("g").applyInPandas(_shards(radius, similarity), "a long, b long")
+    tiles = F.ceil(F.col("m") / TILE).cast("int")
+    large = met.filter(F.col("m") > SMALL).withColumn("o", F.pmod(F.xxhash64("id"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    large = large.select("key", "id", "n", *names, F.least("o", "other").alias("x"), F.greatest("o", "other").alias("y"), F.when(F.col("o") == F.col("other"), 0).when(F.col("o") < F.col("other"), 1).otherwise(2).alias("side"))
+    large = large.groupBy("key", "x", "y").applyInPandas(_shard_tiles(radius, similarity), "a long, b long")
+    joined = components(small.unionByName(large))
+    maybe = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
+    maybe = classes.join(maybe, classes["id"] == maybe["node"]).select(*key, "id", "root")
+    one = F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("d"), "rk")).alias("one")
+    members = rows.join(maybe, key).groupBy("id", "root", "n", *names).agg(one).select("id", "root", "n", *names, "one.d", "one.rk")
+    out = _grouped(rows, classes, key, components(confirmed(docs, members, shingle, similarity, radius)))
+    free(sizes, met)
+    return out.select("doc_id", "component_id", "rk", "root", "head")
