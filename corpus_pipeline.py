@@ -10,11 +10,8 @@ from lattica.llm.common import free, load, may_hold, pin, row_key
 from lattica.llm.queries import fold
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Exact Jaccard similarity of near copies on five-word shingles, and the bits of 256 and of the first
-#: 64 by which fingerprints of candidates may differ.  At that similarity they differ by
-#: 256 / pi * acos(2 s / (1 + s)), about 39 bits, and 10 of the first 64; sets of four and five shingles
-#: by 48 and 12.  There is room for five standard deviations, and for almost four in such small sets.
-SHINGLE, SIMILARITY, NEAR_BITS, FIRST_BITS = 5, 0.8, 72, 24
+#: Near copies: the Jaccard similarity of sets of five-word shingles.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that repeat that id, the one of the smallest row key stays, once.
     """
-    groups = simhash.near_groups(docs, SHINGLE, FIRST_BITS, words=4, wide_radius=NEAR_BITS, similarity=SIMILARITY)
+    groups = simhash.near_sets(docs, SHINGLE, SIMILARITY)
     groups = groups.select(F.coalesce("doc_id", F.lit(-1)).alias("d"), "rk", "root", "head")
     heads = groups.filter("head")
     repeated = pin(heads.groupBy("root").agg(F.min(F.struct("rk", "d")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
