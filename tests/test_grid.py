@@ -1,4 +1,5 @@
 import datetime as dt
+import uuid
 
 import pyarrow as pa
 import pytest
@@ -226,7 +227,7 @@ def test_open_modes_and_errors(spark, table, tmp_path):
 
 def jobs(spark, work):
     """How many Spark jobs ``work`` runs."""
-    group = f"g{id(work)}"
+    group = uuid.uuid4().hex
     spark.sparkContext.setJobGroup(group, group)
     work()
     return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
