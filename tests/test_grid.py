@@ -1,11 +1,12 @@
 import datetime as dt
 import uuid
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica import errors
+from lattica import errors, queries
 from lattica.functions.calendar import civil_from_days, days_from_civil, fits, parse_scheme, partition_name, partition_range
 from lattica.functions.types import cast_column
 from lattica.functions import codec
@@ -141,6 +142,32 @@ def test_casts(spark):
     assert (one(0.5, "float64", "bool"), one(-1, "int64", "uint8"), int(one(-1, "int64", "uint64"))) == (False, 255, (1 << 64) - 1)
 
 
+def test_unsigned_counts_and_sums_of_any_size(spark, tmp_path):
+    # more rows a day than a byte counts, up to SMALLINT's most; sums above 32 bits, below 0, null, and at both ends of BIGINT
+    days = [(300, 20_000_000), (32_767, 1), (1, -7), (1, None), (1, (1 << 63) - 1), (1, -(1 << 63))]
+    spark.createDataFrame([(n, u, dt.datetime(2024, 1, k + 1, 12)) for k, (n, u) in enumerate(days)], "n int, user_id long, ts timestamp_ntz").select(
+        F.lit("a").alias("event_type"), "ts", "user_id", F.lit(0.5).alias("value"), F.explode(F.sequence(F.lit(1), "n")).alias("event_id"), F.lit("{}").alias("props")
+    ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = queries.queries()["unsigned_types"](spark, str(tmp_path))
+    assert got.dtypes[2:] == [("small", "smallint"), ("wide", "bigint")]
+    got = [tuple(r) for r in got.orderBy("time").collect()]
+    assert [r[2:] for r in got] == [(n, None if u is None else n * u) for n, u in days]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == db.execute(f"SELECT * FROM ({queries.oracle_sql()['unsigned_types']}) ORDER BY time").fetchall()
+
+
+@pytest.mark.parametrize("bits", [8, 16, 32, 64])
+def test_unsigned_bounds(spark, tmp_path, bits):
+    kind, top = f"uint{bits}", (1 << bits) - 1
+    rows = lambda *v: spark.createDataFrame([("A", d(1, k + 1), str(x)) for k, x in enumerate(v)], "sym string, time date, x string").withColumn("x", F.col("x").cast("decimal(20,0)"))
+    w = GridWriter(spark, str(tmp_path / "t")).init(rows(0, top), kinds={"x": kind})
+    assert [int(r["x"]) for r in w.as_reader().ordered().collect()] == [0, top]
+    for k, bad in enumerate((-1, top + 1)[: 1 if bits == 64 else 2]):
+        with pytest.raises(errors.Invalid):
+            GridWriter(spark, str(tmp_path / f"bad{k}")).init(rows(bad), kinds={"x": kind})
+
+
 def test_columns(spark, table):
     table.init_field("signal", "double").rename_field("price", "factor.close")
     assert list(table.as_reader().schema()) == ["sym", "time", "factor.close", "signal"]
